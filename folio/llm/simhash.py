@@ -51,11 +51,11 @@ def shingle_hashes(words: list[bytes], size: int) -> list[int]:
     return [xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :])]
 
 
-def majority(hashes: list[int]) -> int:
+def majority(hashes: list[int] | np.ndarray) -> int:
     """Signed 64 bits, each set if over half of the hashes have it set."""
-    if not hashes:
+    if not len(hashes):
         return 0
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(np.asarray(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64) if len(bits) > 255 else np.add.reduce(bits, axis=0, dtype=np.uint8)
     return int(np.packbits(2 * ones.astype(np.int64) > len(hashes), bitorder="little").view(np.int64)[0])
 
@@ -92,73 +92,95 @@ def child_masks(mask: int, radius: int, bits: int = BITS) -> list[int]:
     return [mask | sum(1 << i for i in free[j :: radius + 1]) for j in range(radius + 1)]
 
 
-def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph that links fingerprints at `radius` or fewer differing bits."""
+def forest(prints: np.ndarray, radius: int, nearest: int = 0) -> list[tuple[int, int]]:
+    """Pairs of positions that span the graph of fingerprints at `radius` or fewer differing bits.
+
+    A spanning forest, and for each position its `nearest` closest within the radius besides: never all pairs.
+    """
     u = prints.view(np.uint64)
     left = np.ones(len(u), bool)
     edges = []
     while True:
         seeds = np.flatnonzero(left)
-        if len(seeds) < 2:
+        if len(seeds) < 1 + (not nearest):
             return edges
         left[seeds[0]] = False
-        todo = [seeds[0]]
+        todo = [int(seeds[0])]
         while todo:
             x = todo.pop()
-            near = np.flatnonzero(left & (np.bitwise_count(u ^ u[x]) <= radius))
+            far = np.bitwise_count(u ^ u[x])
+            near = np.flatnonzero(left & (far <= radius))
             left[near] = False
             todo += near.tolist()
-            edges += [(int(prints[x]), int(prints[y])) for y in near]
+            edges += [(x, int(y)) for y in near]
+            if nearest:
+                far[x] = 255
+                close = np.flatnonzero(far <= radius)
+                edges += [(x, int(y)) for y in close[np.argsort(far[close], kind="stable")[:nearest]]]
 
 
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _forests(buckets: DataFrame, radius: int) -> DataFrame:
+def _forests(buckets: DataFrame, radius: int, nearest: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for batch in batches:
             lists = batch.column(0)
-            values, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            members, offsets = lists.flatten(), lists.offsets.to_numpy()
+            nodes, fps = (members.field(c).to_numpy(zero_copy_only=False) for c in ("node", "fp"))
             offsets = offsets - offsets[0]
-            edges = [e for a, b in zip(offsets[:-1], offsets[1:]) for e in forest(values[a:b], radius)]
+            edges = []
+            for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                edges += [(nodes[i + x], nodes[i + y]) for x, y in forest(fps[i:j], radius, nearest)]
             a, b = zip(*edges) if edges else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    return buckets.select("fps").mapInArrow(run, EDGES)
+    return buckets.select("members").mapInArrow(run, EDGES)
 
 
-def near_edges(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints `fp` as do all pairs within the radius."""
+def near_edges(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, within: int | None = None, nearest: int = 0) -> DataFrame:
+    """Edges (a, b) that connect nodes as do all pairs whose fingerprints of one family are within the radius.
+
+    prints: (family, node, fp). Pairs that meet in a bucket are linked up to `within` bits (default: the radius); with
+    `nearest`, every node is also joined to that many of its closest in each bucket. A bucket is named by a hash of family,
+    mask and masked bits; two that shared a name would only be compared needlessly.
+    """
     spark = prints.sparkSession
+    within = radius if within is None else within
     masks = covering_masks(radius)
-    dealt = prints.select("fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
+    dealt = prints.select("family", "node", "fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
     out = None
     while True:
-        dealt = dealt.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-        sizes = dealt.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sizes = stored(sizes, "sizes")
-        small = dealt.join(sizes.filter(F.col("n") <= bucket), ["mask", "key"])
-        small = small.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
-        edges = _forests(small, radius)
+        dealt = dealt.withColumn("bucket", F.xxhash64("family", "mask", F.col("fp").bitwiseAND(F.col("mask"))))
+        sizes = stored(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+        small = dealt.select("bucket", "node", "fp").join(sizes.filter(F.col("n") <= bucket).select("bucket"), "bucket")
+        small = small.groupBy("bucket").agg(F.collect_list(F.struct("node", "fp")).alias("members"))
+        edges = _forests(small, within, nearest)
         out = edges if out is None else out.union(edges)
-        large = sizes.filter(F.col("n") > bucket)
+        large = sizes.filter(F.col("n") > bucket).select("bucket")
         if large.isEmpty():
             return out
         # At most (radius + 1) masks for each mask before; the list is bounded by the depth, not by the data.
         children = [(signed(m), signed(c)) for m in masks for c in child_masks(m, radius)]
         masks = sorted({c & (2**64 - 1) for _, c in children})
+        hot = dealt.join(large, "bucket")
+        if all(m == 2**64 - 1 for m in masks):  # only equal fingerprints are left: a chain in each part, and one of the parts' heads
+            part = F.pmod(F.xxhash64("node"), F.lit(1024))
+            heads = hot.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("b"), F.first("fp").alias("fp"))
+            chained = hot.withColumn("part", part).join(heads.select("bucket", "part", "b"), ["bucket", "part"])
+            tops = heads.groupBy("bucket").agg(F.collect_list(F.struct(F.col("b").alias("node"), "fp")).alias("members"))
+            return out.union(chained.select(F.col("node").alias("a"), "b")).union(_forests(tops, 0, 0))
         children = F.broadcast(spark.createDataFrame(children, "mask long, child long"))
-        dealt = dealt.join(large, ["mask", "key"]).join(children, "mask").select("fp", F.col("child").alias("mask"))
-        # Two parents can share a child; the pair (fp, child) then needs to be dealt once only.
-        dealt = stored(dealt.distinct(), "dealt")
+        # Two parents can share a child; a node then needs to be dealt once only.
+        dealt = stored(hot.join(children, "mask").select("family", "node", "fp", F.col("child").alias("mask")).distinct(), "dealt")
 
 
 def classes(prints: DataFrame, order: str = "doc_id", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(fp, component): for every fingerprint the least `order` of all rows connected with it. prints: rows (order, fp)."""
     own = stored(prints.groupBy("fp").agg(F.min(order).alias("least")), "prints")
-    links = components(near_edges(own.select("fp"), radius, bucket))
+    links = components(near_edges(own.select(F.lit(0).alias("family"), F.col("fp").alias("node"), "fp"), radius, bucket))
     rooted = own.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return rooted.join(least, "root").select("fp", "component")
@@ -173,16 +195,114 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     )
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """One row of docs for each component: the one of the smallest doc_id (of repeated rows, of null ids: any one).
+#: Families of fingerprints, and the differing bits up to which pairs that meet are verified.
+FAMILIES, WITHIN = 6, 8
+SIMILARITY = 0.8
+COPY_SHINGLE = 5
+
+SKETCH = T.StructType([T.StructField("__same", T.BinaryType()), T.StructField("fps", T.ArrayType(T.LongType()))])
+_ODD = [np.uint64(2 * x + 1) for x in range(0x1E3779B97F4A7C15, 0x1E3779B97F4A7C15 + FAMILIES * 0x51ED270B, 0x51ED270B)]
+
+
+def family_prints(hashes: np.ndarray) -> list[int]:
+    """FAMILIES independent fingerprints of a set of 64-bit hashes."""
+    out = []
+    for odd in _ODD:
+        h = hashes * odd
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+        out.append(majority(h))
+    return out
+
+
+def sketches(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """docs with `__same`, equal for equal word sequences only, and `fps`, fingerprints of the set of words."""
+    from xxhash import xxh64_intdigest, xxh128_digest
+
+    def make():
+        def f(texts, _):
+            same, prints = [], []
+            for t in texts:
+                words = space_words(t) if t else []
+                same.append(xxh128_digest(b" ".join(words)))
+                prints.append(family_prints(np.array([xxh64_intdigest(w, 42) for w in set(words)], np.uint64)))
+            return [same, prints]
+
+        return f
+
+    return map_texts(docs, text, SKETCH, make, keep=keep)
+
 
-    Fingerprints are stored with an own number for each row; texts are shuffled by it once, to be met by the rows that stay.
+def name_sequences(docs: DataFrame, text: str) -> DataFrame:
+    """docs with `__same`, equal for equal word sequences only."""
+    from xxhash import xxh128_digest
+
+    new = T.StructType([SKETCH["__same"]])
+    return map_texts(docs, text, new, lambda: lambda texts, _: [[xxh128_digest(b" ".join(space_words(t) if t else [])) for t in texts]])
+
+
+def shingle_sets(docs: DataFrame, text: str, keep: list[str], shingle: int = COPY_SHINGLE) -> DataFrame:
+    """docs with `shingles`: the sorted distinct hashes, 32 bits each, of all word shingles."""
+    new = T.StructType([T.StructField("shingles", T.ArrayType(T.IntegerType()))])
+
+    def make():
+        def f(texts, _):
+            words = (space_words(t) if t else [] for t in texts)
+            sets = (np.unique((np.array(shingle_hashes(w, shingle), np.uint64) & np.uint64(0x7FFFFFFF)).astype(np.int32)) if w else [] for w in words)
+            return [[pa.array(x, pa.int32()) for x in sets]]
+
+        return f
+
+    return map_texts(docs, text, new, make, keep=keep)
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those edges (a, b) whose nodes' shingle sets (node, shingles) have at least this Jaccard similarity; two empty sets: 1."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            xo, yo = x.offsets.to_numpy(), y.offsets.to_numpy()
+            xv, yv = x.flatten().to_numpy(zero_copy_only=False), y.flatten().to_numpy(zero_copy_only=False)
+            keep = []
+            for i in range(batch.num_rows):
+                p, q = xv[xo[i] - xo[0] : xo[i + 1] - xo[0]], yv[yo[i] - yo[0] : yo[i + 1] - yo[0]]
+                both = len(np.intersect1d(p, q, True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], schema=schema)
+
+    rows = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    rows = rows.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(run, EDGES)
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """One row of docs for each group of copies: that of the smallest doc_id (null last; of equal rows: any one).
+
+    Texts of equal words are grouped first. Of the others FAMILIES independent fingerprints of the word set go through the
+    covering tables (a few changed words move a word set's fingerprint by a few bits, those of five-word shingles by three
+    times as many); pairs that meet and differ by WITHIN bits or fewer are verified by the Jaccard similarity of their
+    five-word shingle sets, and groups are the components of what holds. A bucket gives a spanning forest and each text's
+    two nearest, so verification grows with the number of texts.
     """
-    own = "__row"
-    while own in docs.columns:
-        own += "_"
-    spread = stored(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
-    prints = stored(fingerprints(spread, shingle=shingle, keep=["doc_id", own]), "fingerprints")
-    found = classes(prints.select(F.struct(F.col("doc_id").isNull(), "doc_id", own).alias("doc_id"), "fp"), radius=radius, bucket=bucket)
-    stay = found.select(F.col(f"component.{own}").alias(own)).distinct()
-    return spread.join(stay, own, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.col("doc_id").isNull(), "doc_id")
+    nodes = sketches(docs, "text", ["doc_id"]).groupBy("__same").agg(F.min(order).alias("least"), F.first("fps").alias("fps"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    prints = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
+    edges = near_edges(prints, radius, bucket, WITHIN, nearest=2)
+    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "candidates")
+    asked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("__id")
+    firsts = nodes.join(asked, "node").select("node", key("least.doc_id"), "__same")
+    texts = name_sequences(docs.select("text", key("doc_id")), "text").join(firsts, ["__same", "__id"])
+    texts = texts.dropDuplicates(["__same", "__id"]).select("node", "text")
+    sets = stored(shingle_sets(texts, "text", ["node"]), "shingles")
+    links = components(verified(edges, sets, similarity))
+    rooted = nodes.join(links, "node", "left").select(F.coalesce("root", "node").alias("root"), "least", "__same")
+    stay = rooted.groupBy("root").agg(F.min(F.struct("least", "__same")).alias("x"))
+    stay = stay.select(key("x.least.doc_id"), F.col("x.__same").alias("__same"))
+    left = name_sequences(docs.withColumn("__id", key("doc_id")), "text").join(stay, ["__same", "__id"], "left_semi")
+    return left.dropDuplicates(["__same", "__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
