@@ -133,7 +133,9 @@ def _forests(buckets: DataFrame, radius: int, nearest: int) -> DataFrame:
             offsets = offsets - offsets[0]
             edges = []
             for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                edges += [(nodes[i + x], nodes[i + y]) for x, y in forest(fps[i:j], radius, nearest)]
+                order = np.argsort(nodes[i:j], kind="stable")  # so that buckets of the same texts give the same edges
+                own, prints = nodes[i:j][order], fps[i:j][order]
+                edges += [(own[x], own[y]) for x, y in forest(prints, radius, nearest)]
             a, b = zip(*edges) if edges else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
@@ -234,12 +236,49 @@ def sketches(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return map_texts(docs, text, SKETCH, make, keep=keep)
 
 
-def name_sequences(docs: DataFrame, text: str) -> DataFrame:
-    """docs with `__same`, equal for equal word sequences only."""
+#: Bits of a filter for each key, and the most that a filter has: 64 MB, however many the keys.
+FILTER_RATE, FILTER_BITS = 16, 1 << 29
+
+
+def key_filter(keys: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter over the binary keys; so small that every task can have it. It may say yes to others, never no to these."""
+    bits = min(FILTER_BITS, 1 << max(10, (FILTER_RATE * n - 1).bit_length()))
+
+    def run(batches):
+        made = np.zeros(bits, bool)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                made[int.from_bytes(k[:8], "big") % bits] = made[int.from_bytes(k[8:], "big") % bits] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(made).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for row in keys.repartition(4).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(bytes(row.bits), np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, key: bytes) -> bool:
+    size = 8 * len(bits)
+    places = (int.from_bytes(key[:8], "big") % size, int.from_bytes(key[8:], "big") % size)
+    return all(bits[i >> 3] >> (7 - (i & 7)) & 1 for i in places)
+
+
+def name_sequences(docs: DataFrame, text: str, shared) -> DataFrame:
+    """docs with `__same`, equal for equal word sequences only, and `__maybe`, whether the shared filter may hold it."""
     from xxhash import xxh128_digest
 
-    new = T.StructType([SKETCH["__same"]])
-    return map_texts(docs, text, new, lambda: lambda texts, _: [[xxh128_digest(b" ".join(space_words(t) if t else [])) for t in texts]])
+    new = T.StructType([SKETCH["__same"], T.StructField("__maybe", T.BooleanType())])
+
+    def make():
+        bits = shared.value
+
+        def f(texts, _):
+            same = [xxh128_digest(b" ".join(space_words(t) if t else [])) for t in texts]
+            return [same, [in_filter(bits, x) for x in same]]
+
+        return f
+
+    return map_texts(docs, text, new, make)
 
 
 def shingle_sets(docs: DataFrame, text: str, keep: list[str], shingle: int = COPY_SHINGLE) -> DataFrame:
@@ -288,21 +327,30 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
     five-word shingle sets, and groups are the components of what holds. A bucket gives a spanning forest and each text's
     two nearest, so verification grows with the number of texts.
     """
+    spark = docs.sparkSession
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
-    nodes = sketches(docs, "text", ["doc_id"]).groupBy("__same").agg(F.min(order).alias("least"), F.first("fps").alias("fps"))
+    nodes = sketches(docs, "text", ["doc_id"]).groupBy("__same")
+    nodes = nodes.agg(F.min(order).alias("least"), F.first("fps").alias("fps"), F.count(F.lit(1)).alias("n"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     prints = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
     edges = near_edges(prints, radius, bucket, WITHIN, nearest=2)
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "candidates")
     asked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("__id")
-    firsts = nodes.join(asked, "node").select("node", key("least.doc_id"), "__same")
-    texts = name_sequences(docs.select("text", key("doc_id")), "text").join(firsts, ["__same", "__id"])
+    firsts = stored(nodes.join(asked, "node").select("node", key("least.doc_id"), "__same"), "firsts")
+    # Only rows that the filter of such keys lets through are shuffled with their texts; all others stand alone.
+    shared = spark.sparkContext.broadcast(key_filter(firsts.select("__same"), firsts.count()))
+    texts = name_sequences(docs.select("text", key("doc_id")), "text", shared).filter("__maybe").join(firsts, ["__same", "__id"])
     texts = texts.dropDuplicates(["__same", "__id"]).select("node", "text")
     sets = stored(shingle_sets(texts, "text", ["node"]), "shingles")
-    links = components(verified(edges, sets, similarity))
-    rooted = nodes.join(links, "node", "left").select(F.coalesce("root", "node").alias("root"), "least", "__same")
+    links = stored(components(verified(edges, sets, similarity)), "links")
+    rooted = nodes.join(links, "node", "left").select(F.coalesce("root", "node").alias("root"), "least", "__same", "n")
+    groups = rooted.groupBy("root").agg(F.sum("n").alias("rows")).filter("rows > 1").select("root")
+    many = stored(rooted.join(groups, "root").select("__same"), "copied")
+    shared = spark.sparkContext.broadcast(key_filter(many, many.count()))
+    named = name_sequences(docs.withColumn("__id", key("doc_id")), "text", shared)
     stay = rooted.groupBy("root").agg(F.min(F.struct("least", "__same")).alias("x"))
     stay = stay.select(key("x.least.doc_id"), F.col("x.__same").alias("__same"))
-    left = name_sequences(docs.withColumn("__id", key("doc_id")), "text").join(stay, ["__same", "__id"], "left_semi")
-    return left.dropDuplicates(["__same", "__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = named.filter("__maybe").join(stay, ["__same", "__id"], "left_semi")
+    out = named.filter("NOT __maybe").unionByName(left.dropDuplicates(["__same", "__id"]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
