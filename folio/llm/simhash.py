@@ -119,6 +119,54 @@ def forest(prints: np.ndarray, radius: int, nearest: int = 0) -> list[tuple[int,
                 edges += [(x, int(y)) for y in close[np.argsort(far[close], kind="stable")[:nearest]]]
 
 
+#: Bits of a filter for each key, and the most that a filter has: 64 MB, however many the keys.
+FILTER_RATE, FILTER_BITS = 16, 1 << 29
+
+
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter for each 64-bit hash."""
+    u = keys.view(np.uint64)
+    return u % np.uint64(bits), (u * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(bits)
+
+
+def key_filter(keys: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter over 64-bit hashes; so small that every task can have it. It may say yes to others, never no to these."""
+    bits = min(FILTER_BITS, 1 << max(10, (FILTER_RATE * n - 1).bit_length()))
+
+    def run(batches):
+        made = np.zeros(bits, bool)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                made[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(made, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for row in keys.repartition(4).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(bytes(row.bits), np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    a, b = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 for at in _places(keys, 8 * len(bits)))
+    return (a & b).astype(bool)
+
+
+def filtered(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """Those rows whose 64-bit hash the filter may hold."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    place = rows.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(shared.value, batch.column(place).to_numpy(zero_copy_only=False))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def first_half(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -157,7 +205,10 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, wi
     while True:
         dealt = dealt.withColumn("bucket", F.xxhash64("family", "mask", F.col("fp").bitwiseAND(F.col("mask"))))
         sizes = stored(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-        small = dealt.select("bucket", "node", "fp").join(sizes.filter(F.col("n") <= bucket).select("bucket"), "bucket")
+        fit = sizes.filter(F.col("n") <= bucket).select("bucket")
+        # A filter of bounded size first: rows that are alone in their bucket, by far the most, are not shuffled again.
+        small = filtered(dealt.select("bucket", "node", "fp"), "bucket", key_filter(fit, fit.count()))
+        small = small.join(fit.hint("merge"), "bucket")
         small = small.groupBy("bucket").agg(F.collect_list(F.struct("node", "fp")).alias("members"))
         edges = _forests(small, within, nearest)
         out = edges if out is None else out.union(edges)
@@ -236,33 +287,6 @@ def sketches(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return map_texts(docs, text, SKETCH, make, keep=keep)
 
 
-#: Bits of a filter for each key, and the most that a filter has: 64 MB, however many the keys.
-FILTER_RATE, FILTER_BITS = 16, 1 << 29
-
-
-def key_filter(keys: DataFrame, n: int) -> np.ndarray:
-    """A Bloom filter over the binary keys; so small that every task can have it. It may say yes to others, never no to these."""
-    bits = min(FILTER_BITS, 1 << max(10, (FILTER_RATE * n - 1).bit_length()))
-
-    def run(batches):
-        made = np.zeros(bits, bool)
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                made[int.from_bytes(k[:8], "big") % bits] = made[int.from_bytes(k[8:], "big") % bits] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(made).tobytes()], pa.binary())], names=["bits"])
-
-    out = np.zeros(bits // 8, np.uint8)
-    for row in keys.repartition(4).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(bytes(row.bits), np.uint8)
-    return out
-
-
-def in_filter(bits: np.ndarray, key: bytes) -> bool:
-    size = 8 * len(bits)
-    places = (int.from_bytes(key[:8], "big") % size, int.from_bytes(key[8:], "big") % size)
-    return all(bits[i >> 3] >> (7 - (i & 7)) & 1 for i in places)
-
-
 def name_sequences(docs: DataFrame, text: str, shared) -> DataFrame:
     """docs with `__same`, equal for equal word sequences only, and `__maybe`, whether the shared filter may hold it."""
     from xxhash import xxh128_digest
@@ -274,7 +298,7 @@ def name_sequences(docs: DataFrame, text: str, shared) -> DataFrame:
 
         def f(texts, _):
             same = [xxh128_digest(b" ".join(space_words(t) if t else [])) for t in texts]
-            return [same, [in_filter(bits, x) for x in same]]
+            return [same, in_filter(bits, np.array([first_half(x) for x in same], np.int64))]
 
         return f
 
@@ -313,8 +337,8 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], schema=schema)
 
-    rows = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    rows = rows.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    rows = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    rows = rows.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     return rows.select("a", "b", "x", "y").mapInArrow(run, EDGES)
 
 
@@ -338,16 +362,17 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
     asked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("__id")
     firsts = stored(nodes.join(asked, "node").select("node", key("least.doc_id"), "__same"), "firsts")
+    half = F.conv(F.hex(F.substring("__same", 1, 8)), 16, -10).cast("long")  # as first_half
     # Only rows that the filter of such keys lets through are shuffled with their texts; all others stand alone.
-    shared = spark.sparkContext.broadcast(key_filter(firsts.select("__same"), firsts.count()))
-    texts = name_sequences(docs.select("text", key("doc_id")), "text", shared).filter("__maybe").join(firsts, ["__same", "__id"])
+    shared = spark.sparkContext.broadcast(key_filter(firsts.select(half), firsts.count()))
+    texts = name_sequences(docs.select("text", key("doc_id")), "text", shared).filter("__maybe").join(firsts.hint("merge"), ["__same", "__id"])
     texts = texts.dropDuplicates(["__same", "__id"]).select("node", "text")
     sets = stored(shingle_sets(texts, "text", ["node"]), "shingles")
     links = stored(components(verified(edges, sets, similarity)), "links")
     rooted = nodes.join(links, "node", "left").select(F.coalesce("root", "node").alias("root"), "least", "__same", "n")
     groups = rooted.groupBy("root").agg(F.sum("n").alias("rows")).filter("rows > 1").select("root")
     many = stored(rooted.join(groups, "root").select("__same"), "copied")
-    shared = spark.sparkContext.broadcast(key_filter(many, many.count()))
+    shared = spark.sparkContext.broadcast(key_filter(many.select(half), many.count()))
     named = name_sequences(docs.withColumn("__id", key("doc_id")), "text", shared)
     stay = rooted.groupBy("root").agg(F.min(F.struct("least", "__same")).alias("x"))
     stay = stay.select(key("x.least.doc_id"), F.col("x.__same").alias("__same"))
