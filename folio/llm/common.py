@@ -71,15 +71,16 @@ def shuffle_partitions(df: DataFrame, factor: int = 1) -> int:
 
 def row_ranges(sizes: Iterable[int | None], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges with at most `limit` bytes each (a single larger row stands alone)."""
-    start = total = i = 0
+    start = end = total = 0
     for i, size in enumerate(sizes):
         size = size or 0
         if i > start and total + size > limit:
             yield start, i
             start, total = i, 0
         total += size
-    if start <= i:
-        yield start, i + 1
+        end = i + 1
+    if start < end:
+        yield start, end
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):

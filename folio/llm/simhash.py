@@ -200,8 +200,11 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, wi
     spark = prints.sparkSession
     within = radius if within is None else within
     masks = covering_masks(radius)
-    dealt = prints.select("family", "node", "fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
-    out = None
+    # Of equal fingerprints the first node stands for all: so the bits that a bucket leaves free bound its size.
+    heads = stored(prints.groupBy("family", "fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")), "heads")
+    equal = prints.join(heads.filter("n > 1").select("family", "fp", F.col("node").alias("b")), ["family", "fp"])
+    out = equal.filter("node <> b").select(F.col("node").alias("a"), "b")
+    dealt = heads.select("family", "node", "fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
     while True:
         dealt = dealt.withColumn("bucket", F.xxhash64("family", "mask", F.col("fp").bitwiseAND(F.col("mask"))))
         sizes = stored(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
@@ -211,7 +214,7 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, wi
         small = small.join(fit.hint("merge"), "bucket")
         small = small.groupBy("bucket").agg(F.collect_list(F.struct("node", "fp")).alias("members"))
         edges = _forests(small, within, nearest)
-        out = edges if out is None else out.union(edges)
+        out = out.union(edges)
         large = sizes.filter(F.col("n") > bucket).select("bucket")
         if large.isEmpty():
             return out
@@ -219,12 +222,6 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, wi
         children = [(signed(m), signed(c)) for m in masks for c in child_masks(m, radius)]
         masks = sorted({c & (2**64 - 1) for _, c in children})
         hot = dealt.join(large, "bucket")
-        if all(m == 2**64 - 1 for m in masks):  # only equal fingerprints are left: a chain in each part, and one of the parts' heads
-            part = F.pmod(F.xxhash64("node"), F.lit(1024))
-            heads = hot.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("b"), F.first("fp").alias("fp"))
-            chained = hot.withColumn("part", part).join(heads.select("bucket", "part", "b"), ["bucket", "part"])
-            tops = heads.groupBy("bucket").agg(F.collect_list(F.struct(F.col("b").alias("node"), "fp")).alias("members"))
-            return out.union(chained.select(F.col("node").alias("a"), "b")).union(_forests(tops, 0, 0))
         children = F.broadcast(spark.createDataFrame(children, "mask long, child long"))
         # Two parents can share a child; a node then needs to be dealt once only.
         dealt = stored(hot.join(children, "mask").select("family", "node", "fp", F.col("child").alias("mask")).distinct(), "dealt")
