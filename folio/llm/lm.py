@@ -9,8 +9,9 @@ Network: one gated recurrent layer; its output softmax is factored into a distri
 one over the words of the group. It is trained by truncated backpropagation through windows of WINDOW tokens with the
 state carried on. Texts are scored whole: the state is carried across windows from the first word to the end.
 
-Weights are learnt from a sample of the training texts that grows with them (a SAMPLE-th, or SAMPLE_LEAST texts if that is
-more): each partition trains on its own, partitions are averaged by tokens, ROUNDS times. Counts cover all training texts.
+Weights are learnt from a sample of the training texts that grows with every text added (as many as all of the first
+SAMPLE_WHOLE and a SAMPLE-th of the others): each partition trains on its own, partitions are averaged by tokens, ROUNDS
+times. Rows are drawn and dealt by a hash of key and text, so copies of one text spread. Counts cover all training texts.
 
 Counts of the HEAD most frequent words are broadcast (a bounded table); rarer words of each text meet their counts in a
 shuffle join, whose keys are each rarer than one in HEAD tokens, so none is hot.
@@ -36,7 +37,7 @@ from .common import crc_mod, map_texts, shuffle_partitions, space_words, stored,
 
 SHORT, GROUPS, CLASSES, HEAD = 1023, 32, 64, 65_536
 HIDDEN, WINDOW, LANES = 16, 16, 64
-SAMPLE, SAMPLE_LEAST, ROUNDS, RATE = 16, 4000, 2, 4e-3
+SAMPLE, SAMPLE_WHOLE, ROUNDS, RATE = 16, 4000, 2, 4e-3
 #: Words above so many bytes are counted by their SHA-256.
 LONG_WORD = 40
 COUNTER = 200_000
@@ -338,8 +339,26 @@ def fit_vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
     return Vocabulary(head, classes, n_texts)
 
 
-def score_texts(docs: DataFrame, training, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with n_tokens, n_known, train_tokens, base_score and score, learnt from the rows where `training` holds."""
+def sample_share(n_texts: int) -> float:
+    """The share of n_texts training texts that the network learns from."""
+    return (n_texts + (SAMPLE - 1) * min(n_texts, SAMPLE_WHOLE)) / (SAMPLE * max(1, n_texts))
+
+
+def draw_sample(trained: DataFrame, n_texts: int, text: str = "text", key: tuple[str, ...] = ()) -> DataFrame:
+    """The training texts to learn weights from, in partitions of 500 or more; the same rows whenever it is computed."""
+    share = sample_share(n_texts)
+    parts = max(1, min(shuffle_partitions(trained), int(n_texts * share) // 500))
+    rows = trained.select(text, F.xxhash64(*key, text).alias("__hash"))
+    if share < 1:
+        rows = rows.filter(F.pmod("__hash", F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    return rows.repartition(parts, "__hash").sortWithinPartitions("__hash").select(text)
+
+
+def score_texts(docs: DataFrame, training, text: str = "text", keep: list[str] | None = None, key: tuple[str, ...] = ()) -> DataFrame:
+    """docs with n_tokens, n_known, train_tokens, base_score and score, learnt from the rows where `training` holds.
+
+    key: columns that tell rows of equal text apart.
+    """
     spark = docs.sparkSession
     trained = docs.filter(training)
     counts = stored(word_counts(trained, text), "words")
@@ -347,11 +366,7 @@ def score_texts(docs: DataFrame, training, text: str = "text", keep: list[str] |
     vocabulary = fit_vocabulary(counts, n_texts)
     words = spark.sparkContext.broadcast(vocabulary)
 
-    share = min(1.0, max(1 / SAMPLE, SAMPLE_LEAST / max(1, n_texts)))
-    key = F.pmod(F.xxhash64(text), F.lit(1 << 20))
-    parts = max(1, min(shuffle_partitions(docs), int(n_texts * share) // 500))
-    sample = trained.select(text).filter(key < F.lit(int(share * (1 << 20)))) if share < 1 else trained.select(text)
-    sample = stored(sample.repartition(parts, F.xxhash64(text)).sortWithinPartitions(F.xxhash64(text)), "sample")
+    sample = stored(draw_sample(trained, n_texts, text, key), "sample")
     network = spark.sparkContext.broadcast(fit_network(sample, words, text))
 
     def make():
@@ -396,4 +411,4 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     held_out = F.coalesce(crc_mod("doc_id", fold) == held, F.lit(False))
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
-    return score_texts(rows, ~F.col("held_out"), keep=["doc_id", "held_out"])
+    return score_texts(rows, ~F.col("held_out"), keep=["doc_id", "held_out"], key=("doc_id",))

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from folio.llm import archive, decontaminate, language, licenses, lm, packing, secrets, sharding, simhash, topk
 from folio.llm.common import alnum_words, row_ranges, space_words
@@ -528,3 +529,15 @@ def test_lm_scores(spark, odd, empty):
     own = [rows[i] for i in range(600) if held[i]]
     assert sum(r.score for r in own) > sum(r.base_score for r in own)
     assert lm.score_documents(odd).count() == len(ODD) and lm.score_documents(empty).count() == 0
+
+
+def test_lm_sample_grows_and_spreads_copies(spark, monkeypatch):
+    sizes = [n * lm.sample_share(n) for n in (1, 500, 3999, 4000, 4500, 10_000, 64_000, 100_000, 10**9)]
+    assert all(a < b for a, b in itertools.pairwise(sizes)) and sizes[2] == 3999 and lm.sample_share(0) == 0
+    assert math.isclose(lm.sample_share(10**9), 1 / lm.SAMPLE, rel_tol=1e-3)
+    monkeypatch.setattr(lm, "SAMPLE_WHOLE", 100)
+    copies = spark.createDataFrame([(i, "one text of many copies") for i in range(40_000)], "doc_id long, text string")
+    drawn = lm.draw_sample(copies, 40_000, key=("doc_id",))
+    counts = [r["count"] for r in drawn.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) > 1 and max(counts) < 0.6 * sum(counts)
+    assert abs(sum(counts) - 40_000 * lm.sample_share(40_000)) < 300
