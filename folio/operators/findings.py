@@ -41,10 +41,17 @@ def search(findings: DataFrame, text: str, document: str | None = None, feature:
 
 
 def neighbours(findings: DataFrame) -> DataFrame:
-    """Findings numbered from 1 by document and order, with the numbers before and after."""
-    order = Window.orderBy("document", "ord")
-    rows = findings.withColumn("id", F.row_number().over(order))
-    return rows.withColumns({"previous_id": F.lag("id").over(order), "next_id": F.lead("id").over(order)})
+    """Findings numbered from 1 by document and order, with the numbers before and after.
+
+    Rows are numbered within their document; only one row a document meets in one place, for the running total.
+    """
+    sizes = findings.groupBy("document").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(F.asc_nulls_first("document"))) - F.col("__n")
+    sizes = sizes.select(F.col("document").alias("__document"), before.alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    rows = findings.withColumn("id", F.row_number().over(Window.partitionBy("document").orderBy("ord")))
+    rows = rows.join(sizes, F.col("document").eqNullSafe(F.col("__document"))).withColumn("id", F.col("id") + F.col("__before"))
+    rows = rows.withColumns({"previous_id": F.when(F.col("id") > 1, F.col("id") - 1), "next_id": F.when(F.col("id") < F.col("__all"), F.col("id") + 1)})
+    return rows.drop("__document", "__before", "__all")
 
 
 def history(documents: DataFrame, findings: DataFrame) -> DataFrame:
@@ -71,6 +78,6 @@ def sheet_titles(features: DataFrame) -> DataFrame:
 
 
 def group_headers(rows: DataFrame) -> DataFrame:
-    """Rows in order with `new_document` where the document changes."""
-    before = F.lag("document").over(Window.orderBy("document", "ord"))
-    return rows.withColumn("new_document", ~F.coalesce(before == F.col("document"), F.lit(False)))
+    """Rows with `new_document` at the first of each document, in order of document and `ord`."""
+    first = F.row_number().over(Window.partitionBy("document").orderBy("ord")) == 1
+    return rows.withColumn("new_document", first)

@@ -467,3 +467,165 @@ _SLUGS = "('authentication'), ('access control'), ('ERR#01'), ('../etc'), ('###'
 @query("SELECT * FROM (VALUES ('authentication', 'authentication'), ('access control', 'access_control'), ('ERR#01', 'err_01'), ('../etc', 'etc'), ('###', 'search')) AS v(keyword, slug)")
 def report_slugs(spark, sf_dir):
     return inline(spark, _SLUGS, "keyword").select("keyword", X.slug(F.col("keyword")).alias("slug"))
+
+
+_SHEETS = "(1, 'keyword_search'), (2, 'keyword_search'), (3, 'a_feature_with_a_very_long_name_one'), (4, 'a_feature_with_a_very_long_name_two'), (5, 'keyword_search')"
+
+
+@query(
+    f"""SELECT ord, CASE WHEN n = 1 THEN base ELSE feature[1:28] || '~' || n END AS title
+FROM (SELECT *, feature[1:31] AS base, row_number() OVER (PARTITION BY feature[1:31] ORDER BY ord) AS n FROM {values(_SHEETS, "ord, feature")})"""
+)
+def sheet_titles(spark, sf_dir):
+    return findings.sheet_titles(inline(spark, _SHEETS, "ord, feature"))
+
+
+@query(
+    f"""SELECT ord, id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id
+FROM (SELECT ord, document, row_number() OVER (ORDER BY document NULLS FIRST, ord) AS id FROM ({_FINDINGS})) WINDOW w AS (ORDER BY id)"""
+)
+def finding_neighbours(spark, sf_dir):
+    return findings.neighbours(_findings(spark, sf_dir)).select("ord", "id", "previous_id", "next_id")
+
+
+@query(f"SELECT document, ord, coalesce(lag(document) OVER (ORDER BY document NULLS FIRST, ord) IS DISTINCT FROM document OR row_number() OVER (ORDER BY document NULLS FIRST, ord) = 1, false) AS new_document FROM ({_FINDINGS})")
+def group_headers(spark, sf_dir):
+    return findings.group_headers(_findings(spark, sf_dir)).select("document", "ord", "new_document")
+
+
+_NAMED = "('a', 1, 's31'), ('a', 2, 'gone'), ('b', 3, 's31'), ('b', 4, CAST(NULL AS STRING))"
+_DESTS = "('a', 's31', 4), ('a', 's31', 6), ('a', 'gone', -1), ('b', 'x', 2)"
+
+
+@query(
+    f"""SELECT l.doc_id, l.ord, l.target_name, (SELECT min(page) FROM {values(_DESTS, "doc_id, name, page")} d WHERE d.doc_id = l.doc_id AND d.name = l.target_name AND page >= 0) AS target_page
+FROM {values(_NAMED, "doc_id, ord, target_name")} l"""
+)
+def named_destinations(spark, sf_dir):
+    return links.resolve_names(inline(spark, _NAMED, "doc_id, ord, target_name"), inline(spark, _DESTS, "doc_id, name, page"))
+
+
+_CAPTION_REFS = "('a', 1, 'Table', '1'), ('a', 2, 'Figure', '3'), ('a', 3, 'Figure', '9'), ('b', 4, 'Table', '1')"
+
+
+@query(
+    f"""SELECT r.*, c.page AS caption_page, c.text AS caption, CASE WHEN c.text IS NOT NULL THEN 0.95 END::DOUBLE AS caption_confidence
+FROM {values(_CAPTION_REFS, "doc_id, ref, kind, number")} r LEFT JOIN ({_CAPTIONS}) c USING (doc_id, kind, number)"""
+)
+def suggest_caption(spark, sf_dir):
+    refs = inline(spark, _CAPTION_REFS, "doc_id, ref, kind, number")
+    return links.suggest_captions(refs, links.captions(_paragraphs(spark))).withColumn("caption_confidence", F.col("caption_confidence").cast("double"))
+
+
+_VECTORS = "(1, array(1.0D, 0.0D)), (2, array(0.6D, 0.8D)), (3, array(-1.0D, -1.0D)), (4, array(1.0D, 1.0D))"
+_VECTORS_SQL = "(VALUES (1, 1.0, 0.0), (2, 0.6, 0.8), (3, -1.0, -1.0), (4, 1.0, 1.0)) AS v(id, x, y)"
+
+
+@query(
+    f"""SELECT id, CASE WHEN greatest(a, b) < 0.55 THEN NULL WHEN a >= b THEN 'broken_links' ELSE 'spell_check' END AS feature, round(greatest(a, b), 6) AS score
+FROM (SELECT id, x / sqrt(x * x + y * y) AS a, y / sqrt(x * x + y * y) AS b FROM {_VECTORS_SQL})"""
+)
+def nearest_feature(spark, sf_dir):
+    found = router.nearest(inline(spark, _VECTORS, "id, vector"), {"broken_links": [1.0, 0.0], "spell_check": [0.0, 1.0]})
+    return found.withColumn("score", F.round("score", 6))
+
+
+_LABELLED = "(1, 'check the broken links', 'broken_links'), (2, 'find typos in this', 'spell_check'), (3, 'authentication failures', 'keyword_search'), (4, 'search every document for MOCN', 'spell_check')"
+
+
+@query("SELECT 0.75::DOUBLE AS accuracy")
+def routing_accuracy(spark, sf_dir):
+    rows = inline(spark, _LABELLED, "id, request, expected")
+    return router.accuracy(rows.withColumn("features", router.features(F.col("request"))))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '') || chr(0)) AS digest FROM documents")
+def text_digests(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", semantic.text_key(F.array(F.coalesce("text", F.lit("")))).alias("digest"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN length(c) > 80 THEN c[1:79] || '…' ELSE c END AS shown FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents)"
+)
+def displayed_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.display(F.col("text")).alias("shown"))
+
+
+_STEMS = "('cables'), ('class'), ('planned'), ('routing'), ('walker'), ('slowly'), ('red'), ('settings')"
+
+
+@query(
+    f"""SELECT word, list_filter([CASE WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN word[:-2] END, CASE WHEN word LIKE '%ed' THEN word[:-2] END, CASE WHEN word LIKE '%ing' THEN word[:-4] || 'e' END], lambda x: x IS NOT NULL) AS regular
+FROM {values(_STEMS, "word")}"""
+)
+def regular_stems(spark, sf_dir):
+    return inline(spark, _STEMS, "word").select("word", spell.stems(F.col("word"))[0].alias("regular"))
+
+
+_SWAPS = "('network', 'networks'), ('battery', 'batteyr'), ('routed', 'router'), ('cat', 'car'), ('planning', 'planned')"
+
+
+@query("SELECT * FROM (VALUES ('network', 'networks', true), ('battery', 'batteyr', false), ('routed', 'router', true), ('cat', 'car', false), ('planning', 'planned', false)) AS v(a, b, swap)")
+def suffix_swaps(spark, sf_dir):
+    return inline(spark, _SWAPS, "a, b").select("a", "b", spell.suffix_swap(F.col("a"), F.col("b")).alias("swap"))
+
+
+_CHANGES = "('form', 'from'), ('there', 'their'), ('teh', 'the'), ('cable', 'table')"
+_COMMON = "('form', 5.0), ('from', 6.0), ('there', 6.0), ('their', 6.0), ('the', 7.0), ('cable', 3.0), ('table', 5.0)"
+
+
+@query(
+    f"""SELECT original, suggestion FROM {values(_CHANGES, "original, suggestion")} LEFT JOIN {values(_COMMON, "wa, za")} ON wa = original LEFT JOIN {values(_COMMON, "wb, zb")} x(wb, zb) ON wb = suggestion
+WHERE NOT (coalesce(za, 0) >= 4 AND coalesce(zb, 0) >= 4) OR (length(original) = length(suggestion) AND levenshtein(original, suggestion) = 2 AND damerau_levenshtein(original, suggestion) = 1)"""
+)
+def verified_changes(spark, sf_dir):
+    vocab = inline(spark, _COMMON, "word, zipf").withColumn("zipf", F.col("zipf").cast("double"))
+    return spell.verified(inline(spark, _CHANGES, "original, suggestion"), vocab)
+
+
+_CANDIDATES = "(1, 'gNodeB', 'gnome', true, true), (2, 'teh', 'zzz', false, false), (3, 'the', 'the', false, true), (4, 'teh', 'the', false, true)"
+_CANDIDATE = "id, original, suggested, is_protected, is_valid"
+
+
+@query(
+    f"""SELECT *, CASE WHEN is_protected THEN 'reject_protected_term' WHEN NOT is_valid THEN 'reject_invalid_candidate' WHEN original = suggested THEN 'reject_no_change' ELSE 'accept' END AS decision
+FROM {values(_CANDIDATES, _CANDIDATE)}"""
+)
+def correction_decisions(spark, sf_dir):
+    return spell.decide(inline(spark, _CANDIDATES, _CANDIDATE))
+
+
+_CASES = "('TEH', 'the'), ('Teh', 'the'), ('teh', 'the'), ('A', 'an')"
+
+
+@query("SELECT * FROM (VALUES ('TEH', 'the', 'THE'), ('Teh', 'the', 'The'), ('teh', 'the', 'the'), ('A', 'an', 'An')) AS v(original, suggestion, cased)")
+def matched_case(spark, sf_dir):
+    return inline(spark, _CASES, "original, suggestion").select("original", "suggestion", X.match_case(F.col("original"), F.col("suggestion")).alias("cased"))
+
+
+_REPLACED = "('the cats and the cat', 'cat', 'dog'), ('Cat only', 'cat', 'dog'), ('teh end teh', 'teh', 'the')"
+
+
+@query(f"SELECT t, w, n, regexp_replace(t, '\\b' || w || '\\b', n) AS made FROM {values(_REPLACED, 't, w, n')}")
+def replaced_words(spark, sf_dir):
+    return inline(spark, _REPLACED, "t, w, n").select("t", "w", "n", X.replace_word(F.col("t"), F.col("w"), F.col("n")).alias("made"))
+
+
+_EDITED = "(1, 'I recieve teh parts', 'I receive the parts'), (2, 'one two', 'one and two'), (3, 'Form here', 'From here')"
+
+
+@query("SELECT * FROM (VALUES (1, 'recieve', 'receive'), (1, 'teh', 'the'), (3, 'Form', 'From')) AS v(id, original, suggestion)")
+def word_level_changes(spark, sf_dir):
+    rows = inline(spark, _EDITED, "id, a, b").select("id", F.explode(spell.word_changes("a", "b")).alias("c"))
+    return rows.select("id", "c.original", "c.suggestion")
+
+
+_OWN_PAGES = "('a', 1, 'a page'), ('d', 1, 'first page'), ('d', 2, 'second page')"
+
+
+@query(
+    f"""SELECT doc_id, "index" AS unit_ord, page, "index" AS paragraph_index, text FROM {values(_PARAGRAPHS, _P)}
+UNION ALL SELECT doc_id, number, number, NULL, text FROM {values(_OWN_PAGES, "doc_id, number, text")} WHERE doc_id NOT IN (SELECT doc_id FROM {values(_PARAGRAPHS, _P)})"""
+)
+def document_units(spark, sf_dir):
+    return keyword.units(_paragraphs(spark), inline(spark, _OWN_PAGES, "doc_id, number, text"))
