@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import SPACE, display, matches, number_parts, strip
+from folio.functions.text import SPACE, collapse, display, matches, number_parts, strip
 
 # Fixed values.
 REFERENCE = r"(?i)\b(Section|Clause|Chapter|Figure|Table)\s+(\d+(?:\.\d+)*)|\b(Appendix)\s+([A-Z]\b|\d+(?:\.\d+)*)"
@@ -112,22 +112,33 @@ def suggest_captions(references: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def prose_references(paragraphs: DataFrame, found: DataFrame, reported: DataFrame | None = None) -> DataFrame:
-    """Mentions of figures and tables without caption, in documents with captions of that kind: doc_id, page, kind, number.
+    """Mentions of figures and tables without caption, in documents with captions of that kind: doc_id, page, index, kind, number.
 
-    One for each page; not those reported already (doc_id, page, kind, number).
+    The first mention in a document, other than on pages where it is reported already (doc_id, page, kind, number). The
+    caption line that opens a paragraph mentions nothing.
     """
     pattern = r"(?i)\b(?:Figure|Table)\s+\d+(?:\.\d+)*"
+    text = strip(F.col("text"))
+    line = F.element_at(F.split(text, "\n"), 1)
+    body = F.when(strip(line).rlike(CAPTION), F.substring(text, F.length(line) + 2, F.lit(1 << 30))).otherwise(text)
     rows = paragraphs.filter(F.col("text").rlike(pattern))
-    rows = rows.select("doc_id", "page", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("m"))
-    rows = rows.select("doc_id", "page", F.initcap(F.lower(F.regexp_extract("m", r"^(\w+)", 1))).alias("kind"), F.regexp_extract("m", r"(\d+(?:\.\d+)*)$", 1).alias("number"))
-    rows = rows.distinct().join(found.select("doc_id", "kind").distinct(), ["doc_id", "kind"], "left_semi")
+    rows = rows.select("doc_id", "page", "index", F.posexplode(F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).alias("at", "m"))
+    kind, number = F.initcap(F.lower(F.regexp_extract("m", r"^(\w+)", 1))), F.regexp_extract("m", r"(\d+(?:\.\d+)*)$", 1)
+    rows = rows.select("doc_id", "page", "index", "at", kind.alias("kind"), number.alias("number"))
+    rows = rows.join(found.select("doc_id", "kind").distinct(), ["doc_id", "kind"], "left_semi")
     rows = rows.join(found, ["doc_id", "kind", "number"], "left_anti")
-    return rows if reported is None else rows.join(reported, ["doc_id", "page", "kind", "number"], "left_anti")
+    rows = rows if reported is None else rows.join(reported, ["doc_id", "page", "kind", "number"], "left_anti")
+    first = rows.groupBy("doc_id", "kind", "number").agg(F.min(F.struct("index", "at", "page")).alias("m"))
+    return first.select("doc_id", "m.page", "m.index", "m.at", "kind", "number")
 
 
 def missing_references(paragraphs: DataFrame) -> DataFrame:
-    """Cues that nothing follows: doc_id, page, index, cue, start, context; one for each page and place in the paragraph."""
-    rows = paragraphs.filter(F.col("text").rlike(CUE)).withColumn("m", F.explode(matches(F.col("text"), CUE)))
+    """Cues that nothing follows: doc_id, page, index, cue, start, reason, context; one for each page and place in the paragraph.
+
+    Lines of a paragraph are read as one.
+    """
+    rows = paragraphs.withColumn("text", F.translate("text", "\n", " "))
+    rows = rows.filter(F.col("text").rlike(CUE)).withColumn("m", F.explode(matches(F.col("text"), CUE)))
     start, end = F.col("m.start"), F.col("m.start") + F.length("m.text")
     before = F.lower(F.regexp_extract(F.substring("text", F.lit(1), start), rf"([A-Za-z']+){SPACE}*$", 1))
     rest = F.substring("text", end + 1, F.lit(1 << 30))
@@ -135,6 +146,28 @@ def missing_references(paragraphs: DataFrame) -> DataFrame:
     empty = F.lower(after).isin(FUNCTION_WORDS) | after.startswith(":")
     rows = rows.filter(~before.isin(CUE_SUBJECTS) & empty)
     around = F.substring("text", F.greatest(start - 10, F.lit(0)) + 1, start + 70 - F.greatest(start - 10, F.lit(0)))
-    rows = rows.select("doc_id", "page", "index", F.lower(strip(F.col("m.text"))).alias("cue"), start.alias("start"), display(strip(around)).alias("context"))
+    why = F.when(after.startswith(":"), "reference cue followed immediately by punctuation").otherwise(F.concat(F.lit("cue followed by '"), after, F.lit("', with no reference text between them")))
+    rows = rows.select("doc_id", "page", "index", collapse(F.col("m.text")).alias("cue"), start.alias("start"), why.alias("reason"), display(strip(around)).alias("context"))
     first = F.row_number().over(Window.partitionBy("doc_id", "page", "start").orderBy("index"))
     return rows.withColumn("n", first).filter("n = 1").drop("n")
+
+
+def reported_links(links: DataFrame, documents: DataFrame, paragraphs: DataFrame, headings: DataFrame, found: DataFrame) -> DataFrame:
+    """Broken links with their evidence and what they may have meant: a heading, else a caption.
+
+    Columns of links, and kind, number, evidence_text, evidence_source, reason, suggested_heading,
+    suggested_heading_number, suggested_page, confidence.
+    """
+    rows = evidence(broken_links(links, documents), paragraphs)
+    kind, number = reference(F.col("evidence_text"))
+    rows = rows.withColumns({"kind": kind, "number": number})
+    asked = suggest_captions(suggest_headings(rows.select("doc_id", F.col("ord").alias("ref"), "kind", "number"), headings), found)
+    asked = asked.select(
+        "doc_id",
+        F.col("ref").alias("ord"),
+        F.coalesce("suggested_heading", "caption").alias("suggested_heading"),
+        F.when(F.col("suggested_heading").isNotNull(), F.col("suggested_heading_number")).alias("suggested_heading_number"),
+        F.coalesce("suggested_page", "caption_page").alias("suggested_page"),
+        F.coalesce("confidence", "caption_confidence").cast("double").alias("confidence"),
+    )
+    return rows.join(asked, ["doc_id", "ord"])

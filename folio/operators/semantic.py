@@ -74,14 +74,33 @@ def text_key(texts: Column) -> Column:
     return F.sha2(F.concat(F.array_join(texts, "\0"), F.lit("\0")), 256)
 
 
-def label_search(embeddings: DataFrame, queries: int = 10, top: int = TOP) -> DataFrame:
-    """For the first vectors as queries, the best of every other label: query_id, doc_id (the label), vec_id, score, rank.
+#: Bytes of query vectors that one broadcast may hold.
+BROADCAST_BYTES = 32 << 20
 
-    Vectors of the query's own label count as holding the query. The queries are a bounded few rows.
+
+def label_search(embeddings: DataFrame, every: int = 20, top: int = TOP, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """For each vector whose id is divisible by `every` as query, the best of every other label: query_id, doc_id (the label), vec_id, score, rank, relevance.
+
+    Vectors of the query's own label count as holding the query. Queries of at most `broadcast_bytes` are broadcast; more are
+    dealt into blocks of that size, each row meets every block, and the rows of a block are spread over tiles, so that no
+    task holds more than a block and its share of rows. The window's limit is applied before the shuffle.
     """
-    asked = embeddings.filter((F.col("vec_id") >= 0) & (F.col("vec_id") < queries))
-    asked = F.broadcast(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("own")))
-    rows = embeddings.join(asked, F.col("label") != F.col("own")).withColumn("score", dot(F.col("embedding"), F.col("q")))
+    spark = embeddings.sparkSession
+    asked = embeddings.filter(F.col("vec_id") % every == 0)
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("own"))
+    n, longest = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    blocks = max(1, -(-n * (8 * longest + 64) // broadcast_bytes))
+    rows = embeddings.select("vec_id", "embedding", "label")
+    if blocks == 1:
+        pairs = rows.join(F.broadcast(asked), F.col("label") != F.col("own"))
+    else:
+        tiles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        asked = asked.withColumns({"block": own, "tile": F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))})
+        each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+        rows = rows.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")).withColumn("block", each)
+        pairs = rows.join(asked.hint("merge"), ["block", "tile"]).filter("label <> own")
+    pairs = pairs.select("query_id", "label", "vec_id", dot(F.col("embedding"), F.col("q")).alias("score"))
     order = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id")
-    rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return rows.select("query_id", F.col("label").alias("doc_id"), "vec_id", F.round("score", 6).alias("score"), "rank", band(F.col("score")).alias("relevance"))
+    found = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return found.select("query_id", F.col("label").alias("doc_id"), "vec_id", F.round("score", 6).alias("score"), "rank", band(F.col("score")).alias("relevance"))

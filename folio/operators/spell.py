@@ -7,13 +7,14 @@ Candidates at two edits are found by shared deletions of up to two letters, and
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.functions.text import match_case
+from folio.functions.text import match_case, replace_word
 
 # Fixed values.
 DEFAULT_TERMS = "gnodeb enodeb mocn rsrp rsrq sinr airscale_rnc nodeb ranslicing oss bts".split()
@@ -33,6 +34,7 @@ FORM_AFTER = (
     "retrieved read copied taken derived obtained loaded extracted sent removed returned came come differ apart"
 ).split()
 FORM_BEFORE = "the a an this that these those oss database server system".split()
+BATCH = 52
 COMMON, UNKNOWN, RARE, MARGIN, SUGGESTED, STEM, SHORTEST = 4.0, 1.0, 3.3, 1.5, 3.0, 2.5, 3
 
 
@@ -212,9 +214,9 @@ def suggest(words: DataFrame, vocab: DataFrame) -> DataFrame:
     own = own.join(vocab, "word", "left").withColumn("zipf", F.coalesce("zipf", F.lit(0.0))).filter(F.col("zipf") < RARE)
     regular, loose = stems(F.col("word"))
     known = vocab.filter(F.col("zipf") >= STEM).select(F.col("word").alias("stem"))
-    as_regular = own.select("word", F.explode(regular).alias("stem")).join(known, "stem", "left_semi").select("word")
+    as_regular = own.filter(F.length("word") > SHORTEST).select("word", F.explode(regular).alias("stem")).join(known, "stem", "left_semi").select("word")
     own = own.join(as_regular, "word", "left_anti")
-    as_loose = own.filter(F.col("zipf") < UNKNOWN).select("word", F.explode(loose).alias("stem")).join(known, "stem", "left_semi").select("word")
+    as_loose = own.filter((F.col("zipf") < UNKNOWN) & (F.length("word") > SHORTEST)).select("word", F.explode(loose).alias("stem")).join(known, "stem", "left_semi").select("word")
     own = own.join(as_loose, "word", "left_anti")
     good = vocab.filter((F.col("zipf") >= SUGGESTED) & F.col("word").rlike("^[a-z]+$")).select(F.col("word").alias("other"), F.col("zipf").alias("better"))
     left = own.select("word", "zipf", F.explode(deletions(F.col("word"))).alias("part"))
@@ -224,9 +226,10 @@ def suggest(words: DataFrame, vocab: DataFrame) -> DataFrame:
     swap = transposed(F.col("word"), F.col("other"))
     short = (F.length("word") > SHORTEST) | (swap & (F.col("better") >= F.col("zipf") + MARGIN))
     rare = (F.col("zipf") < UNKNOWN) | ((F.col("far") == 1) & (F.length("other") >= F.length("word")) & (F.col("better") >= F.col("zipf") + MARGIN))
-    pairs = pairs.filter(short & rare & ~suffix_swap(F.col("word"), F.col("other")))
     best = F.row_number().over(Window.partitionBy("word").orderBy("far", F.desc("better"), "other"))
-    return pairs.withColumn("n", best).filter("n = 1").select("word", F.col("other").alias("suggestion"))
+    best = pairs.filter(short & rare).withColumn("n", best).filter("n = 1")
+    # A word whose best candidate is another form of it is taken for a form too: the next best does not count.
+    return best.filter(~suffix_swap(F.col("word"), F.col("other"))).select("word", F.col("other").alias("suggestion"))
 
 
 def merge_findings(findings: DataFrame) -> DataFrame:
@@ -239,6 +242,65 @@ def merge_findings(findings: DataFrame) -> DataFrame:
     return out.select("doc_id", "paragraph_index", "sentence", "word", "f.suggestion", F.when(F.col("n") > 1, "both").otherwise(F.col("f.method")).alias("method"))
 
 
+MODES = ("dictionary", "t5", "both")
+
+
+def model_changes(sentences: DataFrame, vocab: DataFrame, make_corrector: Callable[[], Callable[[list[str]], list[str]]] | None = None) -> DataFrame:
+    """sentences with original, suggestion, corrected, at: words that a corrector changed, likely and verified ones only.
+
+    make_corrector() is called once for each task and gives f(sentences) -> sentences; without one, the confusion map
+    corrects. Only sentences that it changes go on.
+    """
+    if make_corrector is None:
+        fixed = corrected(F.col("sentence"))
+    else:
+
+        @F.pandas_udf("string")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            correct = make_corrector()
+            for texts in batches:
+                done = [y for i in range(0, len(texts), BATCH) for y in correct(list(texts[i : i + BATCH]))]
+                yield pd.Series(done, index=texts.index, dtype="str")
+
+        fixed = run("sentence")
+    rows = sentences.withColumn("corrected", fixed).filter("corrected <> sentence")
+    rows = rows.select("*", F.posexplode(word_changes("sentence", "corrected")).alias("at", "c"))
+    rows = rows.select(*sentences.columns, "c.original", "c.suggestion", "corrected", "at")
+    rows = rows.filter((F.lower("original") != F.lower("suggestion")) & likely(F.col("original"), F.col("suggestion")))
+    return verified(rows, vocab)
+
+
+def dictionary_changes(sentences: DataFrame, vocab: DataFrame) -> DataFrame:
+    """sentences with original, suggestion, corrected, at: words that the dictionary takes for misspelt."""
+    rows = sentences.select("*", F.posexplode(dictionary_tokens(F.col("sentence"))).alias("at", "original"))
+    rows = rows.filter(F.length("original") >= SHORTEST)
+    found = suggest(rows.select(F.col("original").alias("word")), vocab).select(F.col("word").alias("__word"), F.col("suggestion").alias("__new"))
+    rows = rows.join(found, F.lower("original") == F.col("__word")).withColumn("suggestion", match_case(F.col("original"), F.col("__new")))
+    fixed = replace_word(F.col("sentence"), F.col("original"), F.col("suggestion"))
+    return rows.select(*sentences.columns, "original", "suggestion", fixed.alias("corrected"), "at")
+
+
+def check(sentences: DataFrame, known: DataFrame, vocab: DataFrame, mode: str = "t5", make_corrector=None) -> DataFrame:
+    """Misspelt words of sentences (doc_id, page, paragraph_index, pos, sentence), one row for each word of a sentence.
+
+    mode: dictionary, t5 (the corrector) or both. Columns: those of sentences, word, suggestion, corrected, source (whose
+    suggestion it is), method; what was found more than once is `both`, with the first's suggestion (the corrector's before the dictionary's).
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown spell_mode {mode!r}; expected one of {MODES}")
+    parts = []
+    if mode != "dictionary":
+        parts.append(model_changes(sentences, vocab, make_corrector).withColumns({"method": F.lit("t5"), "prio": F.lit(0)}))
+    if mode != "t5":
+        parts.append(dictionary_changes(sentences, vocab).withColumns({"method": F.lit("dictionary"), "prio": F.lit(1)}))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = protected(rows, known, "original").filter("NOT protected")
+    first = F.min_by(F.struct("page", "pos", F.col("original").alias("word"), "suggestion", "corrected", "method"), F.struct("prio", "pos", "at"))
+    out = rows.groupBy("doc_id", "paragraph_index", "sentence", F.lower("original").alias("__key")).agg(first.alias("f"), F.count(F.lit(1)).alias("n"))
+    method = F.when(F.col("n") > 1, "both").otherwise(F.col("f.method"))
+    return out.select("doc_id", "f.page", "paragraph_index", "f.pos", "sentence", "f.word", "f.suggestion", "f.corrected", F.col("f.method").alias("source"), method.alias("method"))
+
+
 def decide(rows: DataFrame) -> DataFrame:
     """`decision` on each candidate, from is_protected, suggested, original and is_valid."""
     return rows.withColumn(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as X
 from folio.operators import findings, keyword, links, router, semantic, spell, structure
+from folio.plans import engine
 from folio.sources import documents as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +64,10 @@ def corpus_occurrences(spark, sf_dir):
     return found.drop("keyword", "context")
 
 
-@query(occurrences_sql("la", "SELECT conv_id AS doc_id, turn + 1 AS unit_ord, text AS line FROM conversations", "unit_ord::INTEGER", "NULL::INTEGER"))
+CONVERSATIONS_SQL = occurrences_sql("la", "SELECT conv_id AS doc_id, turn + 1 AS unit_ord, text AS line FROM conversations", "unit_ord::INTEGER", "NULL::INTEGER")
+
+
+@query(CONVERSATIONS_SQL)
 def conversation_occurrences(spark, sf_dir):
     unit = keyword.page_units(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     return keyword.occurrences(unit, "la").drop("keyword", "context")
@@ -222,8 +226,10 @@ def caption_index(spark, sf_dir):
 
 @query(
     f"""WITH c AS ({_CAPTIONS}), m AS (
-  SELECT DISTINCT doc_id, page, upper(m[1]) || lower(regexp_extract(m, '^(\\w+)', 1)[2:]) AS kind, regexp_extract(m, '(\\d+(?:\\.\\d+)*)$', 1) AS number
-  FROM (SELECT doc_id, page, unnest(regexp_extract_all(text, '(?i)\\b(?:Figure|Table)\\s+\\d+(?:\\.\\d+)*')) AS m FROM {values(_PARAGRAPHS, _P)}))
+  SELECT doc_id, min(page) AS page, kind, number FROM (
+    SELECT doc_id, page, upper(m[1]) || lower(regexp_extract(m, '^(\\w+)', 1)[2:]) AS kind, regexp_extract(m, '(\\d+(?:\\.\\d+)*)$', 1) AS number
+    FROM (SELECT doc_id, page, unnest(regexp_extract_all(text, '(?i)\\b(?:Figure|Table)\\s+\\d+(?:\\.\\d+)*')) AS m FROM {values(_PARAGRAPHS, _P)}
+      WHERE NOT regexp_matches(text, '(?i)^(Table|Figure)\\s+\\d'))) GROUP BY doc_id, kind, number)
 SELECT doc_id, page, kind, number FROM m WHERE EXISTS (SELECT 1 FROM c WHERE c.doc_id = m.doc_id AND c.kind = m.kind)
   AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = m.doc_id AND c.kind = m.kind AND c.number = m.number)"""
 )
@@ -232,7 +238,7 @@ def prose_references(spark, sf_dir):
     return links.prose_references(p, links.captions(p)).select("doc_id", "page", "kind", "number")
 
 
-@query("SELECT 'b' AS doc_id, 1 AS page, 1 AS \"index\", 'see' AS cue, 22 AS start UNION ALL SELECT 'b', 2, 3, 'refer to', 25")
+@query("SELECT 'b' AS doc_id, 1 AS page, 1 AS \"index\", 'see' AS cue, 22 AS start UNION ALL SELECT 'b', 2, 3, 'Refer to', 25")
 def missing_references(spark, sf_dir):
     return links.missing_references(_paragraphs(spark)).select("doc_id", "page", "index", "cue", "start")
 
@@ -352,7 +358,7 @@ def vocabulary(spark, sf_dir):
 
 @query(
     """WITH s AS (SELECT q.vec_id AS query_id, e.label AS doc_id, e.vec_id, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
-  FROM embeddings e JOIN embeddings q ON q.vec_id BETWEEN 0 AND 9 AND e.label <> q.label),
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.label <> q.label),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, doc_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank, CASE WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.45 THEN 'moderate' ELSE 'weak' END AS relevance FROM r WHERE rank <= 5"""
 )
@@ -629,3 +635,59 @@ UNION ALL SELECT doc_id, number, number, NULL, text FROM {values(_OWN_PAGES, "do
 )
 def document_units(spark, sf_dir):
     return keyword.units(_paragraphs(spark), inline(spark, _OWN_PAGES, "doc_id, number, text"))
+
+
+def _tables(spark, units: DataFrame) -> engine.Tables:
+    """Units as the paragraphs, or where they have no number as the pages, of documents."""
+    own = units.filter("paragraph_index IS NOT NULL").select("doc_id", "page", F.col("paragraph_index").alias("index"), "text")
+    return {"paragraphs": own, "pages": units.filter("paragraph_index IS NULL").select("doc_id", F.col("page").alias("number"), "text")}
+
+
+@query(
+    f"""{_UNIT_SQL}
+SELECT doc_id::VARCHAR AS doc_id, 0::INTEGER AS part, 0::BIGINT AS ord, 1::INTEGER AS page, '''the'' found ' || sum(occurrences)::BIGINT || ' time(s) on page(s) 1' AS message FROM u GROUP BY doc_id
+UNION ALL SELECT doc_id::VARCHAR, 1, unit_ord, 1, '''the'' found ' || occurrences || ' time(s) on page 1, paragraph ' || unit_ord FROM u"""
+)
+def keyword_feature(spark, sf_dir):
+    tables = _tables(spark, keyword.line_units(table(spark, sf_dir, "documents")))
+    found, _ = engine.run(tables, "keyword_search", {"query": "the", "encoder": None})
+    return found.select("doc_id", "part", "ord", "page", "message")
+
+
+@query(
+    f"""SELECT doc_id::VARCHAR AS doc_id, occurrence_index AS ord, page, '''la'' found on page ' || page AS message FROM ({CONVERSATIONS_SQL})"""
+)
+def corpus_feature(spark, sf_dir):
+    tables = _tables(spark, keyword.page_units(table(spark, sf_dir, "conversations"), "conv_id", "turn"))
+    found, _ = engine.run(tables, "multi_doc_keyword_search", {"keyword": "la"})
+    return found.select("doc_id", "ord", "page", "message")
+
+
+@query(
+    """SELECT * FROM (VALUES ('a', 0, 1, 'Broken Section reference ''See Section 3.1'' (target page out of range)', 0.95::DOUBLE), ('a', 0, 1, 'Broken Section reference ''Section 4.2'' (named destination not found)', 0.95),
+  ('b', 0, 1, 'Broken internal reference ''More on wir'' (named destination not found)', NULL), ('c', 0, 1, 'Broken internal reference ''zero'' (target page out of range)', NULL),
+  ('a', 1, 1, 'Reference to Table 7 but the document has no Table 7', NULL), ('b', 2, 1, 'Cross-reference after ''see'' is missing its text: ''ormation, see in the guide.''', NULL),
+  ('b', 2, 2, 'Cross-reference after ''Refer to'' is missing its text: ''of this. Refer to for help.''', NULL)) AS v(doc_id, part, page, message, confidence)"""
+)
+def broken_links_feature(spark, sf_dir):
+    headings = inline(spark, _HEADINGS, "doc_id, ord, text, number, page")
+    tables = {"paragraphs": _paragraphs(spark), "links": inline(spark, _LINKS, _L), "headings": headings, "documents": spark.sql(_DOCS)}
+    found, _ = engine.run(tables, "broken_links")
+    return found.select("doc_id", "part", "page", "message", "confidence")
+
+
+_BOTH = "('a', 1, 0, 'The value was read form the OSS. Teh batery is flat.'), ('a', 1, 1, 'Their lenght and gNodeB batery.'), ('b', 2, 0, 'TEH network form.')"
+
+
+@query(
+    """SELECT * FROM (VALUES ('a', 1, 'Possible spelling error: ''batery'' -> ''battery''', 'dictionary_spelling', 'dictionary', 'Teh battery is flat.'),
+  ('a', 1, 'Possible spelling error: ''form'' -> ''from''', 'contextual_spelling', 't5', 'The value was read from the OSS.'),
+  ('a', 1, 'Possible spelling error: ''batery'' -> ''battery''', 'dictionary_spelling', 'dictionary', 'Their lenght and gNodeB battery.'),
+  ('a', 1, 'Possible spelling error: ''lenght'' -> ''length''', 'dictionary_spelling', 'dictionary', 'Their length and gNodeB batery.')) AS v(doc_id, page, message, issue_type, method, corrected_sentence)"""
+)
+def spell_feature(spark, sf_dir):
+    vocab = inline(spark, _VOCAB, "word, zipf").withColumn("zipf", F.col("zipf").cast("double"))
+    tables = {"paragraphs": inline(spark, _BOTH, "doc_id, page, index, text")}
+    found, _ = engine.run(tables, "spell_check", {"spell_mode": "both", "vocabulary": vocab})
+    d = lambda k: F.get_json_object("details", f"$.{k}").alias(k)
+    return found.select("doc_id", "page", "message", d("issue_type"), d("method"), d("corrected_sentence"))
