@@ -1,12 +1,13 @@
 """The document operators: queries against their SQL, and rules on fixtures."""
 
+import json
 import re
 
 import pytest
 
 from folio import queries
 from folio.functions import text as X
-from folio.operators import keyword, semantic, spell, structure
+from folio.operators import keyword, links, semantic, spell, structure
 from folio.plans import engine
 from folio.sources import documents, office, reports
 from pyspark.sql import functions as F
@@ -89,7 +90,49 @@ def test_engine(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown"):
         engine.select(["nope"])
     path = reports.write_report([("keyword_search", "ok", found.filter("feature = 'keyword_search'"), ["details"], None)], f"{tmp_path}/r/out.xlsx")
-    assert office.read_xlsx(open(path, "rb").read())[1][:3] == ["keyword_search", "ok", "1"]
+    # a summary, a unit with the word, and the nearest paragraph without it
+    assert office.read_xlsx(open(path, "rb").read())[1][:3] == ["keyword_search", "ok", "3"]
+
+
+def test_engine_modes(spark):
+    p = spark.createDataFrame([("d", 1, 0, "Taken form there. The recieve line."), ("d", 1, 1, "Sizes")], "doc_id string, page int, index int, text string")
+    t = {"paragraphs": p, "pages": spark.createDataFrame([], "doc_id string, number int, text string")}
+    vocab = spark.createDataFrame([("receive", 5.0), ("form", 5.0), ("from", 6.0)], "word string, zipf double")
+    got = {}
+    for mode in spell.MODES:
+        rows = engine.run(t, "spell_check", {"spell_mode": mode, "vocabulary": vocab})[0].collect()
+        got[mode] = sorted((json.loads(r.details)["word"], json.loads(r.details)["method"], json.loads(r.details)["issue_type"]) for r in rows)
+    assert got["t5"] == [("form", "t5", "contextual_spelling"), ("recieve", "t5", "contextual_spelling")]
+    assert got["dictionary"] == [("recieve", "dictionary", "dictionary_spelling")]
+    assert got["both"] == [("form", "t5", "contextual_spelling"), ("recieve", "both", "contextual_spelling")]
+    shout = lambda: lambda texts: [x.replace("Sizes", "Sises") for x in texts]
+    rows = engine.run(t, "spell_check", {"corrector": shout, "vocabulary": vocab})[0].collect()
+    assert [json.loads(r.details)["suggestion"] for r in rows] == ["Sises"]
+    assert engine.run(t, "spell_check", {"spell_mode": "loud"})[1][0][1] == "failed"
+    found = engine.run(t, "keyword_search", {"query": "sizes"})[0].orderBy("part").collect()
+    assert [list(json.loads(r.details)) for r in found] == [engine.SEARCH_COLUMNS] * 3
+    assert [json.loads(r.details)["match_type"] for r in found] == ["lexical_summary", "lexical", "semantic"]
+
+
+def test_best_candidate_alone_counts(spark):
+    vocab = spark.createDataFrame([("planners", 6.0), ("planneth", 3.2)], "word string, zipf double")
+    words = spark.createDataFrame([("plannerx",)], "word string")
+    assert spell.suggest(words, vocab).collect() == []  # the best is another form of the word
+
+
+def test_prose_and_cues(spark):
+    rows = [("d", 1, 0, "Table 1: Sizes\nas Table 4 shows"), ("d", 1, 1, "In Table 5 or Table 5, see\nto it"), ("d", 2, 2, "In Table 5 and Table 6")]
+    p = spark.createDataFrame(rows, "doc_id string, page int, index int, text string")
+    reported = spark.createDataFrame([("d", 1, "Table", "5")], "doc_id string, page int, kind string, number string")
+    got = links.prose_references(p, links.captions(p), reported)
+    assert sorted((r.page, r.number) for r in got.collect()) == [(1, "4"), (2, "5"), (2, "6")]
+    assert [(r.cue, r.start) for r in links.missing_references(p).collect()] == [("see", 23)]
+
+
+def test_search_in_blocks(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    one, many = semantic.label_search(e), semantic.label_search(e, broadcast_bytes=2000)
+    assert one.count() > 0 and one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
 
 
 def test_word_changes_and_distance(spark):
