@@ -139,10 +139,10 @@ def word_changes(before: pd.Series, after: pd.Series) -> pd.Series:
 
 
 def vocabulary(words: DataFrame) -> DataFrame:
-    """(word, zipf) from a column `word`: log10 of the relative frequency, plus nine."""
-    total = words.count()
+    """(word, zipf) from a column `word`: log10 of the relative frequency, plus nine. The total reuses the shuffled counts."""
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("word", (F.log10(F.col("n") / F.lit(total)) + 9).alias("zipf"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("word", (F.log10(F.col("n") / total) + 9).alias("zipf"))
 
 
 def stems(word: Column) -> tuple[Column, Column]:

@@ -8,16 +8,48 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.operators.structure import split_heading, split_paragraphs
+
 from .office import read_docx, read_xlsx, term_column
 
 SCHEMA = (
     "path string, format string, page_count int, scanned_pages int, parse_error string, pages array<struct<number:int,text:string>>, "
-    "paragraphs array<struct<page:int,index:int,text:string>>, headings array<struct<ord:int,text:string,level:int,page:int>>"
+    "paragraphs array<struct<page:int,index:int,text:string>>, headings array<struct<ord:int,text:string,level:int,page:int>>, "
+    "lines array<struct<page:int,pos:int,text:string,left:double,right:double,top:double>>, "
+    "links array<struct<ord:int,page:int,text:string,target_page:int,target_name:string,is_internal:boolean>>"
 )
 
 
+def _lines(number: int, page) -> list[dict]:
+    """The full text lines of a PDF page with their places; images and other blocks hold none."""
+    found = [line for block in page.get_text("dict")["blocks"] if block.get("type") == 0 for line in block["lines"]]
+    texts = [("".join(span["text"] for span in line["spans"]).strip(), line["bbox"]) for line in found]
+    keep = [(t, box) for t, box in texts if t]
+    return [{"page": number, "pos": i, "text": t, "left": float(b[0]), "right": float(b[2]), "top": float(b[1])} for i, (t, b) in enumerate(keep)]
+
+
+def _links(number: int, page, names: dict, goto: int, named: int) -> list[dict]:
+    """Links within the document: to a page (0 where it has none), or to a name, whose page is null if nothing has it."""
+    out = []
+    for link in page.get_links():
+        if link["kind"] == goto:
+            name, target = None, link.get("page", -1) + 1
+        elif link["kind"] == named:
+            name = link.get("nameddest") or link.get("name")
+            at = (names.get(name) or {}).get("page")
+            target = at + 1 if isinstance(at, int) and at >= 0 else None
+        else:
+            continue
+        try:
+            text = page.get_textbox(link["from"]).strip()
+        except Exception:  # the contract: a link whose text cannot be read has none
+            text = ""
+        out.append({"page": number, "text": text, "target_page": target, "target_name": name, "is_internal": True})
+    return out
+
+
 def _parse(path: str, data: bytes, text_only: bool) -> dict:
-    row = {"path": path, "format": path.lower().rpartition(".")[2], "page_count": 0, "scanned_pages": 0, "parse_error": None, "pages": [], "paragraphs": [], "headings": []}
+    row = {"path": path, "format": path.lower().rpartition(".")[2], "page_count": 0, "scanned_pages": 0, "parse_error": None, "pages": [], "paragraphs": [], "headings": [], "lines": [], "links": []}
     try:
         if row["format"] == "docx":
             made = read_docx(data)
@@ -32,11 +64,16 @@ def _parse(path: str, data: bytes, text_only: bool) -> dict:
             with pymupdf.open(stream=data, filetype="pdf") as pdf:
                 if pdf.needs_pass:
                     raise ValueError("the file needs a password")
+                names = {} if text_only else pdf.resolve_names()
                 for i, page in enumerate(pdf):
                     text = page.get_text("text")
+                    if not text_only:
+                        row["lines"] += _lines(i + 1, page)
+                        row["links"] += _links(i + 1, page, names, pymupdf.LINK_GOTO, pymupdf.LINK_NAMED)
                     row["pages"].append({"number": i + 1, "text": text})
                     row["scanned_pages"] += len(text.strip()) < 100 and bool(page.get_images())
                 row["page_count"] = len(row["pages"])
+                row["links"] = [{"ord": o, **x} for o, x in enumerate(row["links"])]
                 if not text_only:
                     row["headings"] = [{"ord": o, "text": t, "level": n, "page": p} for o, (n, t, p) in enumerate(pdf.get_toc())]
         else:
@@ -47,7 +84,7 @@ def _parse(path: str, data: bytes, text_only: bool) -> dict:
 
 
 def read_documents(spark: SparkSession, path: str, text_only: bool = False) -> DataFrame:
-    """All .docx and .pdf files below path, one row each, with doc_id. text_only leaves headings unread."""
+    """All .docx and .pdf files below path, one row each, with doc_id. text_only leaves headings, lines and links unread."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.filter(F.lower("path").rlike(r"\.(pdf|docx)$")).select("path", "content")
 
@@ -59,12 +96,20 @@ def read_documents(spark: SparkSession, path: str, text_only: bool = False) -> D
 
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
-    """documents, pages, paragraphs and headings of parsed files."""
+    """documents, pages, paragraphs, headings (with number and title) and links of parsed files.
+
+    Paragraphs of a PDF are made from the places of its lines; those of other formats come with the file.
+    """
+    pages = parsed.select("doc_id", F.inline("pages"))
+    own = parsed.select("doc_id", F.inline("paragraphs"))
+    split = split_paragraphs(parsed.select("doc_id", F.inline("lines")), pages)
+    headings = split_heading(parsed.select("doc_id", F.inline("headings")))
     return {
         "documents": parsed.select("doc_id", "path", "format", "page_count", "scanned_pages", "parse_error"),
-        "pages": parsed.select("doc_id", F.inline("pages")),
-        "paragraphs": parsed.select("doc_id", F.inline("paragraphs")),
-        "headings": parsed.select("doc_id", F.inline("headings")),
+        "pages": pages,
+        "paragraphs": own.unionByName(split),
+        "headings": headings.withColumn("text", F.col("title")),
+        "links": parsed.select("doc_id", F.inline("links")),
     }
 
 

@@ -157,3 +157,65 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.table("hits").collect()) == [(1, 0, 1), (1, 2, 2)]
+
+
+class FakePdf(list):
+    """Two pages as the PDF library gives them."""
+
+    needs_pass = False
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def resolve_names(self):
+        return {"known": {"page": 1}, "lost": {"page": -1}}
+
+    def get_toc(self):
+        return [[1, "3.1 Errors", 2]]
+
+
+class FakePage:
+    def __init__(self, lines, links=()):
+        self.lines, self.links = lines, links
+
+    def get_text(self, kind):
+        if kind == "text":
+            return "\n".join(t for t, _ in self.lines)
+        rows = [{"spans": [{"text": t[:3]}, {"text": t[3:]}], "bbox": (72.0, top, 400.0, top + 10)} for t, top in self.lines]
+        return {"blocks": [{"type": 1}, {"type": 0, "lines": rows}]}
+
+    def get_images(self):
+        return ["image"]
+
+    def get_links(self):
+        return self.links
+
+    def get_textbox(self, rect):
+        if rect is None:
+            raise ValueError
+        return " See Section 3.1 "
+
+
+def test_pdf(spark, monkeypatch):
+    import sys
+    from types import SimpleNamespace
+
+    at = [{"kind": 1, "page": -1, "from": 1}, {"kind": 4, "nameddest": "known", "from": 1}, {"kind": 4, "name": "lost", "from": None}, {"kind": 2, "from": 1}]
+    pdf = FakePdf([FakePage([("first line", 100.0), ("second line", 112.0), ("  ", 124.0), ("far below", 160.0)], at), FakePage([("alone", 100.0)])])
+    monkeypatch.setitem(sys.modules, "pymupdf", SimpleNamespace(open=lambda **_: pdf, LINK_GOTO=1, LINK_NAMED=4))
+    row = documents._parse("x.pdf", b"", False)
+    assert row["parse_error"] is None and (row["page_count"], row["scanned_pages"]) == (2, 2)
+    assert [(x["ord"], x["target_page"], x["target_name"], x["text"]) for x in row["links"]] == [
+        (0, 0, None, "See Section 3.1"), (1, 2, "known", "See Section 3.1"), (2, None, "lost", "")
+    ]
+    t = documents.tables(spark.createDataFrame([row], documents.SCHEMA).withColumn("doc_id", F.col("path")))
+    assert [(p.page, p["index"], p.text) for p in t["paragraphs"].orderBy("index").collect()] == [(1, 0, "first line\nsecond line"), (1, 1, "far below"), (2, 2, "alone")]
+    found, states = engine.run(t, "broken_links")
+    assert states == [("broken_links", "ok", None)]
+    rows = [(r.message, json.loads(r.details)["suggested_heading"], r.confidence) for r in found.orderBy("ord").collect()]
+    assert rows == [("Broken Section reference 'See Section 3.1' (target page out of range)", "Errors", 0.95), ("Broken internal reference 'lost' (named destination not found)", None, None)]
+    text = documents._parse("x.pdf", b"", True)
+    assert not text["lines"] and not text["links"] and text["pages"] == row["pages"]
