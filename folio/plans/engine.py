@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as X
 from folio.operators import keyword, links, semantic, spell, structure
+from folio.operators.findings import summary
 
 Tables = dict[str, DataFrame]
 #: `part` tells the passes of a feature apart, `ord` orders the findings of a pass within their document.
@@ -163,6 +164,40 @@ def select(names: list[str] | str) -> list[str]:
     return wanted
 
 
+def supported(tables: Tables, feature: Feature) -> Tables:
+    """The tables without documents of formats that the feature does not take; all of them where formats are not known."""
+    if not feature.formats or "documents" not in tables or "format" not in tables["documents"].columns:
+        return tables
+    own = tables["documents"].filter(F.col("format").isin(*feature.formats)).select("doc_id")
+    return {name: t.join(own, "doc_id", "left_semi") for name, t in tables.items()}
+
+
+def results(tables: Tables, found: DataFrame, states: list[tuple[str, str, str | None]]) -> DataFrame:
+    """(doc_id, feature, status, error, findings) for every document and feature of a run.
+
+    A document that could not be read fails with its error, one of a format that the feature does not take is skipped;
+    otherwise the feature's own state holds.
+    """
+    docs = tables["documents"]
+    have = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
+    listed = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("feature"),
+                F.lit(s).alias("state"),
+                F.lit(e).cast("string").alias("why"),
+                F.array(*map(F.lit, REGISTRY[n].formats)).cast("array<string>").alias("formats"),
+            )
+            for n, s, e in states
+        ]
+    )
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), have("format").alias("format"), have("parse_error").alias("parse_error"), F.inline(listed))
+    other = (F.size("formats") > 0) & F.col("format").isNotNull() & ~F.array_contains("formats", F.col("format"))
+    status = F.when(F.col("parse_error").isNotNull(), "failed").when(other, "skipped").otherwise(F.col("state"))
+    error = F.when(F.col("parse_error").isNotNull(), F.col("parse_error")).when(~F.coalesce(other, F.lit(False)), F.col("why"))
+    return summary(rows.select("doc_id", "feature", status.alias("status"), error.alias("error")), found)
+
+
 def run(tables: Tables, names: list[str] | str, options: dict | None = None) -> tuple[DataFrame, list[tuple[str, str, str | None]]]:
     """All findings of the features named, as one plan, and (feature, status, error) of each: ok, failed or skipped."""
     options, parts, states = options or {}, [], []
@@ -174,7 +209,7 @@ def run(tables: Tables, names: list[str] | str, options: dict | None = None) ->
             states.append((name, "skipped", "a query is needed"))
         else:
             try:
-                parts.append(REGISTRY[name].run(tables, options))
+                parts.append(REGISTRY[name].run(supported(tables, REGISTRY[name]), options))
                 states.append((name, "ok", None))
             except Exception as e:  # the contract: a feature fails, not the run
                 states.append((name, "failed", str(e)))

@@ -114,6 +114,19 @@ def test_engine_modes(spark):
     assert [json.loads(r.details)["match_type"] for r in found] == ["lexical_summary", "lexical", "semantic"]
 
 
+def test_results_of_each_document(spark):
+    rows = [("a", "docx", None), ("b", "txt", None), ("c", "pdf", "ValueError: bad")]
+    text = spark.createDataFrame([(d, 1, 0, "Read form the OSS.") for d in "ab"], "doc_id string, page int, index int, text string")
+    t = {"documents": spark.createDataFrame(rows, "doc_id string, format string, parse_error string"), "paragraphs": text, "pages": spark.createDataFrame([], "doc_id string, number int, text string")}
+    found, states = engine.run(t, ["spell_check", "multi_doc_keyword_search"], {"keyword": "read"})
+    got = {(r.doc_id, r.feature): (r.status, r.error, r.findings) for r in engine.results(t, found, states).collect()}
+    other = "multi_doc_keyword_search"
+    assert got == {
+        ("a", "spell_check"): ("ok", None, 1), ("b", "spell_check"): ("skipped", None, 0), ("c", "spell_check"): ("failed", "ValueError: bad", 0),
+        ("a", other): ("ok", None, 1), ("b", other): ("ok", None, 1), ("c", other): ("failed", "ValueError: bad", 0),
+    }
+
+
 def test_best_candidate_alone_counts(spark):
     vocab = spark.createDataFrame([("planners", 6.0), ("planneth", 3.2)], "word string, zipf double")
     words = spark.createDataFrame([("plannerx",)], "word string")
