@@ -53,13 +53,19 @@ def keyword_pattern(keyword: str, hyphenated: bool = False) -> str:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches as array<struct<start,text>>, start in code points: gaps and matches summed up to each."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
-    return F.transform(
-        found,
-        lambda v, i: F.struct((total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))).alias("start"), v.alias("text")),
+    """All matches as array<struct<start,text>>, start in code points: one fold over the gaps and matches, each found once."""
+    pairs = F.zip_with(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda v, g: F.struct(v.alias("v"), F.length(g).alias("gap"))
     )
+    none = F.array().cast("array<struct<start:int,text:string>>")
+
+    def step(s, x):
+        start = s["at"] + x["gap"]
+        more = F.array_append(s["out"], F.struct(start.alias("start"), x["v"].alias("text")))
+        # The last gap has no match after it.
+        return F.when(x["v"].isNull(), s).otherwise(F.struct((start + F.length(x["v"])).alias("at"), more.alias("out")))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:
