@@ -20,6 +20,7 @@ kept; an empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -250,7 +251,20 @@ FAMILIES, WITHIN = 6, 8
 SIMILARITY = 0.8
 COPY_SHINGLE = 5
 
-SKETCH = T.StructType([T.StructField("__same", T.BinaryType()), T.StructField("fps", T.ArrayType(T.LongType()))])
+#: Members of a shared shingle that are joined under one key at once; more are dealt out in blocks, each with each.
+BLOCK = 1024
+#: Common shingles known by name, and the number of documents beyond which one in ORDER_SAMPLE tells which are common. This
+#: only orders shingles (rare ones first): any order gives the same pairs.
+LISTED, ORDER_WHOLE, ORDER_SAMPLE = 1 << 20, 50_000, 16
+
+SKETCH = T.StructType(
+    [
+        T.StructField("__same", T.BinaryType()),
+        T.StructField("fps", T.ArrayType(T.LongType())),
+        T.StructField("size", T.IntegerType()),
+        T.StructField("prefix", T.ArrayType(T.LongType())),
+    ]
+)
 _ODD = [np.uint64(2 * x + 1) for x in range(0x1E3779B97F4A7C15, 0x1E3779B97F4A7C15 + FAMILIES * 0x51ED270B, 0x51ED270B)]
 
 
@@ -266,18 +280,69 @@ def family_prints(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def sketches(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """docs with `__same`, equal for equal word sequences only, and `fps`, fingerprints of the set of words."""
+def shingle_set(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's word shingles."""
+    return np.unique(np.array(shingle_hashes(words, shingle) if words else [], np.uint64).view(np.int64))
+
+
+def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and how often each was counted: at most LISTED, so every task can have them."""
+    if docs.count() > ORDER_WHOLE:
+        docs = docs.filter(F.pmod(F.xxhash64(text), F.lit(ORDER_SAMPLE)) == 0)
+
+    def make():
+        def f(texts, _):
+            return [[shingle_set(space_words(t) if t else []) for t in texts]]
+
+        return f
+
+    new = T.StructType([T.StructField("own", T.ArrayType(T.LongType()))])
+    found = map_texts(docs, text, new, make, keep=[]).select(F.explode("own").alias("shingle"))
+    found = stored(found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "common")
+    least, total = None, 0
+    for row in sorted(found.groupBy("n").count().collect(), reverse=True):
+        total += row["count"]
+        if total > LISTED:
+            break
+        least = row.n
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    top = found.filter(F.col("n") >= least).toArrow()
+    keys, n = (top.column(c).to_numpy() for c in ("shingle", "n"))
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles in an order common to all texts: two sets at least `similarity` alike share one of these."""
+    keys, n = common
+    count = np.zeros(len(own), np.int64)
+    if len(keys) and len(own):
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        count = np.where(keys[at] == own, n[at], 0)
+    return own[np.lexsort((own, count))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+
+
+def sketches(docs: DataFrame, text: str, keep: list[str], common=None, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with `__same`, equal for equal word sequences only, `fps`, fingerprints of the set of words, and the `size` and
+    `prefix` of the set of five-word shingles."""
     from xxhash import xxh64_intdigest, xxh128_digest
 
+    shared = docs.sparkSession.sparkContext.broadcast(common or (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
     def make():
+        common = shared.value
+
         def f(texts, _):
-            same, prints = [], []
+            same, prints, sizes, firsts = [], [], [], []
             for t in texts:
                 words = space_words(t) if t else []
                 same.append(xxh128_digest(b" ".join(words)))
                 prints.append(family_prints(np.array([xxh64_intdigest(w, 42) for w in set(words)], np.uint64)))
-            return [same, prints]
+                own = shingle_set(words)
+                sizes.append(len(own))
+                firsts.append(prefix(own, common, similarity))
+            return [same, prints, sizes, firsts]
 
         return f
 
@@ -339,33 +404,72 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return rows.select("a", "b", "x", "y").mapInArrow(run, EDGES)
 
 
+def rare_pairs(nodes: DataFrame, links: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Every pair (a, b) of nodes not yet linked whose shingle sets can be `similarity` alike.
+
+    nodes: (node, size, prefix). Two such sets share a shingle of their prefixes; at its places i and j in sets of m and n
+    they have at most 1 + min(i, j) + min(m - i, n - j) - 1 in common. Pairs of one component need no look: of a shingle's
+    nodes only those outside of its largest component are joined, with all, so that a group of copies costs no squares.
+    """
+    rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "shingle"))
+    shared = stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle"), "shared")
+    rows = filtered(rows, "shingle", key_filter(shared, shared.count()))
+    rows = rows.join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = stored(rows, "rare")
+    roots = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle")
+    roots = roots.agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    parts = lambda n: F.ceil(n / block).cast("int")
+    mixed = roots.filter("roots > 1").select(
+        "shingle", F.col("main.root").alias("main"), parts(F.col("all")).alias("wide"), parts(F.col("all") - F.col("main.n")).alias("long")
+    )
+    rows = rows.join(stored(mixed, "mixed"), "shingle")
+    own = lambda n: F.pmod(F.xxhash64("node", "shingle"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    named = lambda s: [F.col(c).alias(c + s) for c in ("node", "size", "at", "root")]
+    x = rows.filter("root <> main").withColumn("i", own("long")).withColumn("j", every("wide")).select("shingle", "i", "j", *named("_x"))
+    y = rows.withColumn("j", own("wide")).withColumn("i", every("long")).select("shingle", "i", "j", "main", *named("_y"))
+    pairs = x.join(y.hint("merge"), ["shingle", "i", "j"]).filter("root_x <> root_y AND (root_y = main OR node_x < node_y)")
+    pairs = pairs.filter(F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y") - 1e-6)
+    most = F.least("at_x", "at_y") + F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
+    pairs = pairs.filter(most >= similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6)
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def keep_first(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """One row of docs for each group of copies: that of the smallest doc_id (null last; of equal rows: any one).
 
-    Texts of equal words are grouped first. Of the others FAMILIES independent fingerprints of the word set go through the
-    covering tables (a few changed words move a word set's fingerprint by a few bits, those of five-word shingles by three
-    times as many); pairs that meet and differ by WITHIN bits or fewer are verified by the Jaccard similarity of their
-    five-word shingle sets, and groups are the components of what holds. A bucket gives a spanning forest and each text's
-    two nearest, so verification grows with the number of texts.
+    Groups are the components of all pairs whose five-word shingle sets have at least this Jaccard similarity. Texts of
+    equal words are grouped first. Then FAMILIES independent fingerprints of the word set go through the covering tables (a
+    few changed words move a word set's fingerprint by a few bits, those of five-word shingles by three times as many);
+    a bucket gives a spanning forest and each text's two nearest, and what is verified is linked. That finds most groups at
+    little cost but is not complete; rare_pairs then gives every pair left between two components, and those are verified too.
     """
     spark = docs.sparkSession
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
-    nodes = sketches(docs, "text", ["doc_id"]).groupBy("__same")
-    nodes = nodes.agg(F.min(order).alias("least"), F.first("fps").alias("fps"), F.count(F.lit(1)).alias("n"))
+    nodes = sketches(docs, "text", ["doc_id"], common_shingles(docs, "text"), similarity).groupBy("__same")
+    firsts = [F.first(c).alias(c) for c in ("fps", "size", "prefix")]
+    nodes = nodes.agg(F.min(order).alias("least"), *firsts, F.count(F.lit(1)).alias("n"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     prints = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
     edges = near_edges(prints, radius, bucket, WITHIN, nearest=2)
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "candidates")
-    asked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("__id")
-    firsts = stored(nodes.join(asked, "node").select("node", key("least.doc_id"), "__same"), "firsts")
     half = F.conv(F.hex(F.substring("__same", 1, 8)), 16, -10).cast("long")  # as first_half
-    # Only rows that the filter of such keys lets through are shuffled with their texts; all others stand alone.
-    shared = spark.sparkContext.broadcast(key_filter(firsts.select(half), firsts.count()))
-    texts = name_sequences(docs.select("text", key("doc_id")), "text", shared).filter("__maybe").join(firsts.hint("merge"), ["__same", "__id"])
-    texts = texts.dropDuplicates(["__same", "__id"]).select("node", "text")
-    sets = stored(shingle_sets(texts, "text", ["node"]), "shingles")
-    links = stored(components(verified(edges, sets, similarity)), "links")
+
+    def held(edges):
+        asked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+        firsts = stored(nodes.join(asked, "node").select("node", key("least.doc_id"), "__same"), "firsts")
+        # Only rows that the filter of such keys lets through are shuffled with their texts; all others stand alone.
+        shared = spark.sparkContext.broadcast(key_filter(firsts.select(half), firsts.count()))
+        texts = name_sequences(docs.select("text", key("doc_id")), "text", shared).filter("__maybe").join(firsts.hint("merge"), ["__same", "__id"])
+        texts = texts.dropDuplicates(["__same", "__id"]).select("node", "text")
+        return verified(edges, stored(shingle_sets(texts, "text", ["node"]), "shingles"), similarity)
+
+    links = stored(components(held(edges)), "links")
+    more = stored(rare_pairs(nodes.select("node", "size", "prefix"), links, similarity), "pairs")
+    more = stored(held(more), "found")
+    if not more.isEmpty():
+        links = stored(components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "links")
     rooted = nodes.join(links, "node", "left").select(F.coalesce("root", "node").alias("root"), "least", "__same", "n")
     groups = rooted.groupBy("root").agg(F.sum("n").alias("rows")).filter("rows > 1").select("root")
     many = stored(rooted.join(groups, "root").select("__same"), "copied")

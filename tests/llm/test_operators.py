@@ -195,6 +195,33 @@ def test_keep_first_drops_copies_only(spark, odd, empty):
     assert simhash.keep_first(empty).count() == 0
 
 
+def kept_by_brute_force(texts):
+    roots = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if jaccard(texts[i], texts[j]) >= 0.8:
+            a, b = sorted((roots[i], roots[j]))
+            roots = [a if r == b else r for r in roots]
+    return sorted(set(roots))
+
+
+def kept(spark, texts, **how):
+    return sorted(r.doc_id for r in simhash.keep_first(frame(spark, texts), **how).collect())
+
+
+def test_keep_first_joins_texts_of_one_word_set(spark):
+    rng = random.Random(61)
+    texts = []
+    for k in range(8):
+        own = [f"w{k}x{i}" for i in range(40)]
+        one, other = (own + [rng.choice(own) for _ in range(560)] for _ in range(2))
+        changed = list(other)
+        changed[200], changed[400] = own[1], own[2]
+        texts += [" ".join(x) for x in (one, other, changed)]
+    expected = [i for i in range(24) if i % 3 < 2]
+    assert kept_by_brute_force(texts) == expected
+    assert kept(spark, texts) == expected
+
+
 # --- 8: language -------------------------------------------------------------------------------------------------------
 
 
