@@ -222,6 +222,14 @@ def test_keep_first_joins_texts_of_one_word_set(spark):
     assert kept(spark, texts) == expected
 
 
+def test_keep_first_joins_added_passages(spark):
+    rng = random.Random(62)
+    texts = [words(rng, n, 4000) for n in (60, 200) for _ in range(20)]
+    texts += [t + " " + words(rng, len(t.split()) // 6, 4000) for t in texts]
+    assert kept_by_brute_force(texts) == list(range(40))
+    assert kept(spark, texts) == list(range(40))
+
+
 # --- 8: language -------------------------------------------------------------------------------------------------------
 
 
