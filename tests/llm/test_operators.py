@@ -230,6 +230,18 @@ def test_keep_first_joins_added_passages(spark):
     assert kept(spark, texts) == list(range(40))
 
 
+def test_keep_first_looks_beyond_the_nearest(spark):
+    rng = random.Random(63)
+    own = [f"w{i}" for i in range(30)]
+    texts = [" ".join([*own, *rng.choices(own, k=170)]) for _ in range(60)]
+    for t in texts[:20]:
+        w = t.split()
+        w[rng.randrange(60, 150)] = f"new{rng.randrange(9)}"
+        texts.append(" ".join([*w, f"end{rng.randrange(9)}"]))
+    assert kept_by_brute_force(texts) == list(range(60))
+    assert kept(spark, texts) == list(range(60))
+
+
 # --- 8: language -------------------------------------------------------------------------------------------------------
 
 
