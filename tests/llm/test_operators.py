@@ -242,6 +242,20 @@ def test_keep_first_looks_beyond_the_nearest(spark):
     assert kept(spark, texts) == list(range(60))
 
 
+def test_keep_first_is_the_same_with_small_buckets(spark):
+    rng = random.Random(64)
+    base = words(rng, 140, 500).split()
+    texts = []
+    for k in range(20):
+        w = [*base, *(f"own{k}x{i}" for i in range(30))]
+        texts.append(" ".join([*w, *words(rng, 30, 4000).split()]))
+        w = texts[-1].split()
+        w[176:182] = [f"new{k}x{i}" for i in range(6)]
+        texts.append(" ".join(w))
+    expected = kept_by_brute_force(texts)
+    assert kept(spark, texts, bucket=2) == expected
+
+
 # --- 8: language -------------------------------------------------------------------------------------------------------
 
 
