@@ -2,22 +2,24 @@
 
 Vocabulary: word counts over all training texts are summed in a shuffle. The SHORT most frequent words (and the end of a
 text) are predicted by the network word by word; every other word belongs to one of CLASSES classes by its first and last
-letters, is predicted as that class, and inside it by its corpus count c as (c + 0.5) / Z, an unknown word counting 0. The
-probabilities of all possible words so add up to one.
+letters, is predicted as that class, and inside it by its corpus count c as (c + 0.5) / Z, where all unknown words of a
+class together count as one of c = 0. The probabilities of all words so add up to one.
 
-Network: one gated recurrent layer; its output softmax is factored into a distribution over word groups and classes and
-one over the words of the group. It is trained by truncated backpropagation through windows of WINDOW tokens with the
-state carried on. Texts are scored whole: the state is carried across windows from the first word to the end.
+Network: one gated recurrent layer; its output softmax is factored into a distribution over groups of units and one over
+the units of the group. It is trained by truncated backpropagation through windows of WINDOW tokens with the state
+carried on. Texts are scored whole: the state is carried across windows from the first word to the end.
 
-Weights are learnt from a sample of the training texts that grows with every text added (as many as all of the first
-SAMPLE_WHOLE and a SAMPLE-th of the others): each partition trains on its own, partitions are averaged by tokens, ROUNDS
-times. Rows are drawn and dealt by a hash of key and text, so copies of one text spread. Counts cover all training texts.
+Training: every training text is learnt from once. Texts are dealt into ROUNDS rounds and, in each, into parts by a hash
+of key and text; parts train apart, from the average of the round before, and are averaged by tokens. What a part holds
+and its order depend on the rows alone, so neither the cores nor the files change the weights. Texts are tokenised once;
+the rounds and the scoring read units of two bytes.
 
 Counts of the HEAD most frequent words are broadcast (a bounded table); rarer words of each text meet their counts in a
-shuffle join, whose keys are each rarer than one in HEAD tokens, so none is hot.
+shuffle join, whose keys are each rarer than one in HEAD tokens, so none is hot. Words above LONG_WORD bytes are counted
+by a digest, in the head as elsewhere.
 
 Defined results: a null text is empty and has its end token only; repeated rows are scored each; null doc_id counts as
-training text; without any training text every word is unknown and the network is untrained.
+training text; without any training text every word is unknown and the network is untrained. No score is above zero.
 """
 
 from __future__ import annotations
@@ -33,11 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, map_texts, shuffle_partitions, space_words, stored, text_slices
+from .common import crc_mod, map_texts, space_words, stored, text_slices
 
-SHORT, GROUPS, CLASSES, HEAD = 1023, 32, 64, 65_536
-HIDDEN, WINDOW, LANES = 16, 16, 64
-SAMPLE, SAMPLE_WHOLE, ROUNDS, RATE = 16, 4000, 2, 4e-3
+SHORT, CLASSES, HEAD = 1023, 64, 65_536
+#: Groups of the softmax, and units of each: SHORT words, the end, and the classes.
+SIDE = 33
+HIDDEN, WINDOW, RATE = 16, 16, 6e-3
+#: Texts learnt from at once in a part: more lanes make faster, fewer make more updates; at least UPDATES are aimed at.
+LANES, UPDATES = 256, 256
+#: Rounds of averaging; tokens of a part (more where PARTS would be exceeded) and of what is held in memory of it at once.
+ROUNDS, PART_TOKENS, PARTS, SEGMENT = 4, 1 << 20, 4096, 1 << 20
 #: Words above so many bytes are counted by their SHA-256.
 LONG_WORD = 40
 COUNTER = 200_000
@@ -107,7 +114,7 @@ class Vocabulary:
     def tokens(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Units of the text with its end, head index of each of its head words, and its words outside the head."""
         words = space_words(text) if text else []
-        at = np.fromiter((self.index.get(w, -1) for w in words), np.int32, len(words)) if words else np.zeros(0, np.int32)
+        at = np.fromiter((self.index.get(w if len(w) <= LONG_WORD else word_key(w), -1) for w in words), np.int32, len(words))
         units = np.empty(len(words) + 1, np.int32)
         units[-1] = SHORT
         known = at >= 0
@@ -119,12 +126,11 @@ class Vocabulary:
         return units, at[known], rest
 
 
-UNITS = SHORT + 1 + CLASSES
-PER_GROUP = (SHORT + 1) // GROUPS
+UNITS = SIDE * SIDE
 
 
 class Network:
-    """A gated recurrent layer with a class-factored softmax. Unit u < SHORT + 1 is word u // GROUPS of group u % GROUPS."""
+    """A gated recurrent layer with a class-factored softmax. Unit u is number u // SIDE of group u % SIDE."""
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
@@ -132,11 +138,14 @@ class Network:
         self.p = {
             "x": f(UNITS, 3 * HIDDEN),
             "u": f(HIDDEN, 3 * HIDDEN),
-            "c": f(HIDDEN, GROUPS + CLASSES),
-            "cb": np.zeros(GROUPS + CLASSES, np.float32),
-            "w": f(GROUPS, PER_GROUP, HIDDEN),
-            "wb": np.zeros((GROUPS, PER_GROUP), np.float32),
+            "c": f(HIDDEN, SIDE),
+            "cb": np.zeros(SIDE, np.float32),
+            "w": f(SIDE, SIDE, HIDDEN),
+            "wb": np.zeros((SIDE, SIDE), np.float32),
         }
+        # The first group lacks the units that do not exist.
+        for u in range(SHORT + 1 + CLASSES, UNITS):
+            self.p["wb"][u % SIDE, u // SIDE] = -np.inf
         self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.t = 0
@@ -148,15 +157,11 @@ class Network:
         n = np.tanh(a[:, 2 * HIDDEN :] + r * gn)
         return n + z * (h - n), z, r, n, gn
 
-    @staticmethod
-    def split(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First-level symbol of each unit, and its word number within the group (-1: a class)."""
-        word = units <= SHORT
-        return np.where(word, units % GROUPS, units - SHORT - 1 + GROUPS), np.where(word, units // GROUPS, -1)
-
     def loss(self, hs: np.ndarray, units: np.ndarray, grads: dict | None = None):
         """Natural log-probability of each unit after state hs; with grads: adds to them and gives d(loss)/d(hs)."""
-        first, inner = self.split(units)
+        order = np.argsort(units % SIDE, kind="stable")
+        hs, units = hs[order], units[order]
+        first, inner = units % SIDE, units // SIDE
         logits = hs @ self.p["c"] + self.p["cb"]
         logits -= logits.max(1, keepdims=True)
         e = np.exp(logits)
@@ -164,40 +169,41 @@ class Network:
         rows = np.arange(len(units))
         lp = logits[rows, first] - np.log(total)
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, first] -= 1
-            grads["c"] += hs.T @ d
-            grads["cb"] += d.sum(0)
-            dh = d @ self.p["c"].T
-        words = np.flatnonzero(inner >= 0)
-        words = words[np.argsort(first[words], kind="stable")]
-        edges = np.searchsorted(first[words], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            own = words[edges[g] : edges[g + 1]]
-            if not len(own):
+            e /= total[:, None]
+            e[rows, first] -= 1
+            grads["c"] += hs.T @ e
+            grads["cb"] += e.sum(0)
+            dh = e @ self.p["c"].T
+        edges = np.searchsorted(first, np.arange(SIDE + 1)).tolist()
+        for g, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            if a == b:
                 continue
-            h, t = hs[own], inner[own]
+            h, t, i = hs[a:b], inner[a:b], rows[: b - a]
             s = h @ self.p["w"][g].T + self.p["wb"][g]
             s -= s.max(1, keepdims=True)
             e = np.exp(s)
             total = e.sum(1)
-            i = np.arange(len(own))
-            lp[own] += s[i, t] - np.log(total)
+            lp[a:b] += s[i, t] - np.log(total)
             if grads is not None:
-                d = e / total[:, None]
-                d[i, t] -= 1
-                grads["w"][g] += d.T @ h
-                grads["wb"][g] += d.sum(0)
-                dh[own] += d @ self.p["w"][g]
-        return lp if grads is None else (lp, dh)
-
-    def train(self, stream: np.ndarray, state: np.ndarray | None, before: np.ndarray | None):
-        """Truncated backpropagation over stream (steps x lanes); a text begins after each end. Gives the state on."""
+                e /= total[:, None]
+                e[i, t] -= 1
+                grads["w"][g] += e.T @ h
+                grads["wb"][g] += e.sum(0)
+                dh[a:b] += e @ self.p["w"][g]
+        out = np.empty_like(lp)
+        out[order] = lp
+        if grads is None:
+            return out
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
+
+    def train(self, stream: np.ndarray, before: np.ndarray) -> None:
+        """Truncated backpropagation over stream (steps x lanes; -1: nothing), begun after `before`; a text begins after each end."""
         lanes = stream.shape[1]
-        h = np.zeros((lanes, HIDDEN), np.float32) if state is None else state
-        prev = np.full(lanes, SHORT, np.int32) if before is None else before
+        h, prev = np.zeros((lanes, HIDDEN), np.float32), before.astype(np.int64)
         for a in range(0, len(stream), WINDOW):
-            window = stream[a : a + WINDOW]
+            window = stream[a : a + WINDOW].astype(np.int64)
             kept, xs, hs = [], [], []
             for units in window:
                 go = (prev != SHORT)[:, None].astype(np.float32)
@@ -206,11 +212,14 @@ class Network:
                 kept.append((h0, go, *rest))
                 xs.append(prev)
                 hs.append(h)
-                prev = units
+                prev = np.where(units < 0, SHORT, units)
             grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-            _, dhs = self.loss(np.concatenate(hs), window.ravel(), grads)
+            hs, targets = np.concatenate(hs), window.ravel()
+            some = np.flatnonzero(targets >= 0)
+            dhs = np.zeros_like(hs)
+            dhs[some] = self.loss(hs[some], targets[some], grads)[1]
             dhs = dhs.reshape(len(window), lanes, HIDDEN)
-            dh = np.zeros((lanes, HIDDEN), np.float32)
+            dh, dx, dgs = np.zeros((lanes, HIDDEN), np.float32), [], []
             for t in range(len(window) - 1, -1, -1):
                 h0, go, z, r, n, gn = kept[t]
                 d = dh + dhs[t]
@@ -218,11 +227,16 @@ class Network:
                 dn = d * (1 - z) * (1 - n * n)
                 dr = dn * gn * r * (1 - r)
                 dg = np.concatenate([dz, dr, dn * r], 1)
-                np.add.at(grads["x"], xs[t], np.concatenate([dz, dr, dn], 1))
-                grads["u"] += h0.T @ dg
+                dx.append(np.concatenate([dz, dr, dn], 1))
+                dgs.append(dg)
                 dh = (d * z + dg @ self.p["u"].T) * go
-            self._update(grads, window.size)
-        return h, prev
+            grads["u"] = np.concatenate([k[0] for k in kept[::-1]]).T @ np.concatenate(dgs)
+            at = np.concatenate(xs[::-1])
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            grads["x"][at[starts]] = np.add.reduceat(np.concatenate(dx)[order], starts, axis=0)
+            self._update(grads, max(1, len(some)))
 
     def _update(self, grads: dict, size: int) -> None:
         self.t += 1
@@ -243,7 +257,7 @@ class Network:
             sizes = np.array([len(texts[i]) for i in own])
             flat = np.concatenate([texts[i] for i in own])
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            h, prev = np.zeros((len(own), HIDDEN), np.float32), np.full(len(own), SHORT, np.int32)
+            h, prev = np.zeros((len(own), HIDDEN), np.float32), np.full(len(own), SHORT)
             sums = np.zeros(len(own))
             hs, units, at, held = [], [], [], 0
             active = np.searchsorted(-sizes, -np.arange(sizes[0]) - 0.5)
@@ -262,148 +276,174 @@ class Network:
         return out / np.log(10)
 
 
-def _lanes(texts: list[np.ndarray]) -> np.ndarray:
-    """Texts one after another, dealt to lanes of equal length (the few tokens that are left over go)."""
+def lanes_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of the texts in lanes of equal length (-1 after the last), and the unit before each lane."""
     flat = np.concatenate(texts)
-    lanes = max(1, min(LANES, len(flat) // (4 * WINDOW)))
-    steps = len(flat) // lanes
-    return np.ascontiguousarray(flat[: steps * lanes].reshape(lanes, steps).T)
+    lanes = int(np.clip(len(flat) // (WINDOW * UPDATES), 8, LANES))
+    steps = -(-len(flat) // lanes)
+    whole = np.full(lanes * steps, -1, np.int16)
+    whole[: len(flat)] = flat
+    whole = whole.reshape(lanes, steps)
+    before = np.concatenate(([SHORT], whole[:-1, -1]))
+    return np.ascontiguousarray(whole.T), np.where(before < 0, SHORT, before)
+
+
+WEIGHTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("weights", T.BinaryType()), T.StructField("tokens", T.LongType())])
 
 
-WEIGHTS = T.StructType([T.StructField("weights", T.BinaryType()), T.StructField("tokens", T.LongType())])
+def training_parts(tokens: int, rounds: int = ROUNDS) -> int:
+    """How many parts a round of so many tokens in all is dealt into: by the data alone."""
+    return min(PARTS, max(1, -(-tokens // (rounds * PART_TOKENS))))
 
 
-def fit_network(sample: DataFrame, vocabulary, text: str = "text", rounds: int = ROUNDS) -> Network:
-    """A network from the sample: partitions train apart, their weights are averaged by tokens, in a few rounds.
+def fit_network(units: DataFrame, tokens: int, rounds: int = ROUNDS) -> Network:
+    """A network that has learnt from every row of units (hash, units) once; tokens: how many they hold.
 
     Averages are made in at most eight tasks that hold one sum each; so much reaches the driver.
     """
-    sc = sample.sparkSession.sparkContext
+    sc = units.sparkSession.sparkContext
     network = Network()
-    schema = pa.schema([("weights", pa.binary()), ("tokens", pa.int64())])
+    parts = training_parts(tokens, rounds)
+    schema = pa.schema([("part", pa.int32()), ("weights", pa.binary()), ("tokens", pa.int64())])
 
-    def weighted(pairs):
+    def row(part, p, n):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps(p)], pa.binary()), pa.array([n], pa.int64())], schema=schema)
+
+    def weighted(rows):
         total, sums = 0, None
-        for weights, n in pairs:
-            p = pickle.loads(weights)
-            sums = {k: v * np.float64(n) + (sums[k] if sums else 0) for k, v in p.items()}
+        for weights, n in rows:
+            sums = {k: v * np.float64(n) + (sums[k] if sums else 0) for k, v in pickle.loads(weights).items()}
             total += n
         return None if not total else ({k: (v / total).astype(np.float32) for k, v in sums.items()}, total)
 
-    def row(p, n):
-        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(p)], pa.binary()), pa.array([n], pa.int64())], schema=schema)
-
-    for _ in range(rounds):
-        shared = sc.broadcast(network)
+    for i in range(rounds):
+        shared = sc.broadcast(network.p)
 
         def train(batches, shared=shared):
-            own, n = Network(), 0
-            own.p = {k: v.copy() for k, v in shared.value.p.items()}
-            words = vocabulary.value
+            own, n, part, held, texts = None, 0, None, 0, []
+
+            def learn():
+                if texts:
+                    own.train(*lanes_of(texts))
+
             for batch in batches:
-                for _, texts in text_slices(batch, text):
-                    units = [words.tokens(t)[0] for t in texts]
-                    own.train(_lanes(units), None, None)
-                    n += sum(map(len, units))
-            if n:
-                yield row(own.p, n)
+                for p, u in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                    if p != part:
+                        if part is not None:
+                            learn()
+                            yield row(part, own.p, n)
+                        own, n, part, held, texts = Network(), 0, p, 0, []
+                        own.p = {k: v.copy() for k, v in shared.value.items()}
+                    u = np.frombuffer(u, np.int16)
+                    texts.append(u)
+                    held += len(u)
+                    n += len(u)
+                    if held >= SEGMENT:
+                        learn()
+                        held, texts = 0, []
+            if part is not None:
+                learn()
+                yield row(part, own.p, n)
 
         def average(batches):
-            made = weighted((w, n) for b in batches for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            made = weighted((w, n) for b in batches for w, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
             if made:
-                yield row(*made)
-
-        rows = sample.select(text).mapInArrow(train, WEIGHTS).repartition(8).mapInArrow(average, WEIGHTS).collect()
-        made = weighted((bytes(r.weights), r.tokens) for r in rows)
+                yield row(0, *made)
+
+        # Rows alike in key and text are numbered, so that many of them are no hot part.
+        mine = units.filter(F.pmod("hash", F.lit(rounds)) == i).groupBy("hash", "units").agg(F.count(F.lit(1)).alias("n"))
+        mine = mine.select("hash", "units", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
+        mine = mine.select(F.pmod(F.xxhash64("hash", "nth"), F.lit(parts)).cast("int").alias("part"), "hash", "units")
+        mine = mine.repartition(parts, "part").sortWithinPartitions("part", "hash", "units")
+        weights = mine.mapInArrow(train, WEIGHTS).repartition(8, F.col("part") % 8).sortWithinPartitions("part")
+        rows = sorted((r.weights, r.tokens) for r in weights.mapInArrow(average, WEIGHTS).collect())
+        made = weighted(rows)
         if made:
             network.p = made[0]
     return network
 
 
-SCORED = T.StructType(
+def fit_vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
+    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    head = list(zip(head.column("word").to_pylist(), head.column("class").to_pylist(), head.column("c").to_pylist()))
+    classes = [tuple(r) for r in counts.groupBy("class").agg(F.sum("c"), F.count(F.lit(1))).toLocalIterator()]
+    return Vocabulary(head, classes, n_texts)
+
+
+TOKENISED = T.StructType(
     [
         T.StructField("n_tokens", T.LongType()),
         T.StructField("n_head", T.LongType()),
         T.StructField("head_log", T.DoubleType()),
-        T.StructField("rare_log", T.DoubleType()),
-        T.StructField("model_log", T.DoubleType()),
+        T.StructField("class_log", T.DoubleType()),
+        T.StructField("units", T.BinaryType()),
         T.StructField("rest", T.ArrayType(T.BinaryType())),
     ]
 )
+MODEL = T.StructType([T.StructField("model_log", T.DoubleType())])
 
 
-def fit_vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
-    head = counts.filter(F.octet_length("word") <= LONG_WORD).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-    head = list(zip(head.column("word").to_pylist(), head.column("class").to_pylist(), head.column("c").to_pylist()))
-    classes = [tuple(r) for r in counts.groupBy("class").agg(F.sum("c"), F.count(F.lit(1))).toLocalIterator()]
-    return Vocabulary(head, classes, n_texts)
+def tokenised(docs: DataFrame, words, text: str, keep: list[str]) -> DataFrame:
+    """docs with the units of each text, what its head words score in the base and in their classes, and its other words."""
 
+    def make():
+        vocabulary = words.value
 
-def sample_share(n_texts: int) -> float:
-    """The share of n_texts training texts that the network learns from."""
-    return (n_texts + (SAMPLE - 1) * min(n_texts, SAMPLE_WHOLE)) / (SAMPLE * max(1, n_texts))
+        def f(texts, _):
+            units, at, rest = zip(*(vocabulary.tokens(t) for t in texts))
+            end = np.log10(vocabulary.end_count + 0.5)
+            mass = np.concatenate((np.zeros(SHORT + 1), vocabulary.log_mass))
+            head = [float(vocabulary.logc[x].sum()) + end for x in at]
+            inner = [float(vocabulary.logc[x[x >= vocabulary.short]].sum()) - float(mass[u].sum()) for x, u in zip(at, units)]
+            known = [len(x) + (vocabulary.end_count > 0) for x in at]
+            return [[len(u) for u in units], known, head, inner, [u.astype(np.int16).tobytes() for u in units], [[word_key(w) for w in r] for r in rest]]
 
+        return f
 
-def draw_sample(trained: DataFrame, n_texts: int, text: str = "text", key: tuple[str, ...] = ()) -> DataFrame:
-    """The training texts to learn weights from, in partitions of 500 or more; the same rows whenever it is computed."""
-    share = sample_share(n_texts)
-    parts = max(1, min(shuffle_partitions(trained), int(n_texts * share) // 500))
-    rows = trained.select(text, F.xxhash64(*key, text).alias("__hash"))
-    if share < 1:
-        rows = rows.filter(F.pmod("__hash", F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    return rows.repartition(parts, "__hash").sortWithinPartitions("__hash").select(text)
+    return map_texts(docs, text, TOKENISED, make, keep=keep)
 
 
 def score_texts(docs: DataFrame, training, text: str = "text", keep: list[str] | None = None, key: tuple[str, ...] = ()) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score, learnt from the rows where `training` holds.
 
-    key: columns that tell rows of equal text apart.
+    key: columns that tell rows of equal text apart. Columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
     trained = docs.filter(training)
     counts = stored(word_counts(trained, text), "words")
-    n_texts = trained.count()
-    vocabulary = fit_vocabulary(counts, n_texts)
+    vocabulary = fit_vocabulary(counts, trained.count())
     words = spark.sparkContext.broadcast(vocabulary)
 
-    sample = stored(draw_sample(trained, n_texts, text, key), "sample")
-    network = spark.sparkContext.broadcast(fit_network(sample, words, text))
+    names = ["n_known", "train_tokens", "base_score", "score", *(f.name for f in TOKENISED)]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    taken = set(docs.columns) | set(names)
+    own, learn, hashed = (next(x for x in (n + "_" * i for i in range(len(taken) + 1)) if x not in taken) for n in ("__row", "__learn", "__hash"))
+    rows = docs.withColumn(learn, F.coalesce(training, F.lit(False))).withColumn(hashed, F.xxhash64(*key, text))
+    rows = tokenised(rows, words, text, [*kept, learn, hashed]).withColumn(own, F.monotonically_increasing_id())
+    rows = stored(rows, "tokenised")
 
-    def make():
-        vocabulary, net = words.value, network.value
+    network = fit_network(rows.filter(F.col(learn)).select(F.col(hashed).alias("hash"), "units"), vocabulary.n)
+    shared = spark.sparkContext.broadcast(network)
 
-        def f(texts, _):
-            units, at, rest = zip(*(vocabulary.tokens(t) for t in texts))
-            end = np.log10(vocabulary.end_count + 0.5)
-            mass = np.concatenate((np.zeros(SHORT + 1), vocabulary.log_mass))
-            head = [float(vocabulary.logc[x].sum()) + end for x in at]
-            rare = [float(vocabulary.logc[x[x >= vocabulary.short]].sum()) for x in at]
-            model = [m - float(mass[u].sum()) for m, u in zip(net.score(list(units)), units)]
-            known = [len(x) + (vocabulary.end_count > 0) for x in at]
-            return [[len(u) for u in units], known, head, rare, model, [[word_key(w) for w in r] for r in rest]]
-
-        return f
+    def make():
+        net = shared.value
+        return lambda units, _: [net.score([np.frombuffer(u, np.int16) for u in units])]
 
-    names = [f.name for f in SCORED]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    own = "__row"
-    while own in docs.columns:
-        own += "_"
-    scored = map_texts(docs, text, SCORED, make, keep=kept).withColumn(own, F.monotonically_increasing_id())
-    scored = stored(scored, "scored")
-    rest = scored.select(own, F.explode("rest").alias("word")).join(counts.select("word", "c"), "word", "left")
+    new = ["n_tokens", "n_head", "head_log", "class_log"]
+    scored = map_texts(rows, "units", MODEL, make, keep=[*kept, *new, own], limit=8 << 20)
+    rest = rows.select(own, F.explode("rest").alias("word")).join(counts.select("word", "c"), "word", "left")
     rest = rest.groupBy(own).agg(
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("__log"), F.count("c").alias("__known")
     )
-    out = scored.drop("rest").join(rest, own, "left")
+    out = scored.join(rest, own, "left")
     rest_log = F.coalesce("__log", F.lit(0.0))
     return out.select(
-        *[F.col(f"`{c}`") for c in kept if c not in ("n_known", "train_tokens", "base_score", "score")],
+        *[F.col(f"`{c}`") for c in kept],
         "n_tokens",
         (F.col("n_head") + F.coalesce("__known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(vocabulary.n).cast("long").alias("train_tokens"),
         (F.col("head_log") + rest_log - F.col("n_tokens") * F.lit(float(vocabulary.log_all))).alias("base_score"),
-        (F.col("model_log") + F.col("rare_log") + rest_log).alias("score"),
+        (F.col("model_log") + F.col("class_log") + rest_log).alias("score"),
     )
 
 

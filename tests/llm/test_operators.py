@@ -541,7 +541,7 @@ def test_gradients():
     net = lm.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(0)
-    hs, units = rng.standard_normal((6, lm.HIDDEN)), rng.integers(0, lm.UNITS, 6)
+    hs, units = rng.standard_normal((6, lm.HIDDEN)), rng.integers(0, lm.UNITS - 1, 6)
     grads = {k: np.zeros_like(v) for k, v in net.p.items()}
     _, dh = net.loss(hs, units, grads)
     for k in ("c", "cb", "w", "wb"):
@@ -562,7 +562,7 @@ def test_softmax_sums_to_one_and_state_is_carried():
     h = np.random.default_rng(2).standard_normal((1, lm.HIDDEN)).astype(np.float32)
     assert math.isclose(np.exp(net.loss(np.repeat(h, lm.UNITS, 0), np.arange(lm.UNITS))).sum(), 1, rel_tol=1e-4)
     rng = np.random.default_rng(5)
-    texts = [rng.integers(0, lm.UNITS, n).astype(np.int32) for n in (1, 40, 3, 40, 9)]
+    texts = [rng.integers(0, lm.UNITS - 1, n).astype(np.int32) for n in (1, 40, 3, 40, 9)]
     apart = [net.score([t])[0] for t in texts]
     assert np.allclose(net.score(texts), apart, rtol=1e-4)
     state, prev, total = np.zeros((1, lm.HIDDEN), np.float32), lm.SHORT, 0.0
@@ -592,13 +592,53 @@ def test_lm_scores(spark, odd, empty):
     assert lm.score_documents(odd).count() == len(ODD) and lm.score_documents(empty).count() == 0
 
 
-def test_lm_sample_grows_and_spreads_copies(spark, monkeypatch):
-    sizes = [n * lm.sample_share(n) for n in (1, 500, 3999, 4000, 4500, 10_000, 64_000, 100_000, 10**9)]
-    assert all(a < b for a, b in itertools.pairwise(sizes)) and sizes[2] == 3999 and lm.sample_share(0) == 0
-    assert math.isclose(lm.sample_share(10**9), 1 / lm.SAMPLE, rel_tol=1e-3)
-    monkeypatch.setattr(lm, "SAMPLE_WHOLE", 100)
-    copies = spark.createDataFrame([(i, "one text of many copies") for i in range(40_000)], "doc_id long, text string")
-    drawn = lm.draw_sample(copies, 40_000, key=("doc_id",))
-    counts = [r["count"] for r in drawn.groupBy(F.spark_partition_id()).count().collect()]
-    assert len(counts) > 1 and max(counts) < 0.6 * sum(counts)
-    assert abs(sum(counts) - 40_000 * lm.sample_share(40_000)) < 300
+def test_probabilities_inside_classes_add_up():
+    """Also with frequent words above LONG_WORD bytes, which are counted by a digest."""
+    words = [f"w{i}" for i in range(3000)] + [f"https://example.org/{i}/" + "x" * 60 for i in range(300)]
+    rng = random.Random(4)
+    counts = Counter({w.encode(): rng.choice([1, 2, 5, 900]) for w in words})
+    rows = sorted(((lm.word_key(w), lm.word_class(w), c) for w, c in counts.items()), key=lambda r: (-r[2], r[0]))
+    by_class = Counter(k for _, k, _ in rows)
+    sums = Counter()
+    for _, k, c in rows:
+        sums[k] += c
+    v = lm.Vocabulary(rows[:2500], [(k, sums[k], by_class[k]) for k in by_class], 7)
+    rest = {r[0]: r[2] for r in rows[2500:]}
+    total, seen = Counter(), set()
+    for w in [*counts, b"unknown"]:
+        units, at, other = v.tokens(w)
+        if units[0] <= lm.SHORT:
+            seen.add(int(units[0]))
+            continue
+        k = int(units[0]) - lm.SHORT - 1
+        log = v.logc[at[0]] if len(at) else math.log10(rest.get(lm.word_key(other[0]), 0) + 0.5)
+        assert log - v.log_mass[k] <= 1e-12
+        if w != b"unknown":
+            total[k] += 10 ** (log - v.log_mass[k])
+    assert len(seen) == lm.SHORT
+    for k in total:  # what is left is the share of unknown words
+        assert math.isclose(total[k] + 0.5 / 10 ** v.log_mass[k], 1, rel_tol=1e-9)
+
+
+def test_lm_long_frequent_words_and_layout(spark):
+    """A long word in every text scores no better than certainty; files and cores do not change the scores."""
+    rng = random.Random(3)
+    url = "https://example.org/" + "y" * 60
+    texts = [" ".join([url] * 20)] * 60 + [words(rng, 80) + " " + url for _ in range(240)]
+    docs = frame(spark, texts)
+    one = {r.doc_id: r.score for r in lm.score_documents(docs.coalesce(1)).collect()}
+    many = {r.doc_id: r.score for r in lm.score_documents(docs.repartition(7)).collect()}
+    assert max(one.values()) <= 0
+    assert all(math.isclose(one[i], many[i], rel_tol=1e-3) for i in one)
+
+
+def test_lm_learns_from_every_text_once(spark, monkeypatch):
+    """Rounds and parts share all training tokens out, also where a third of all rows are one row repeated."""
+    monkeypatch.setattr(lm, "PART_TOKENS", 50)
+    rng = np.random.default_rng(1)
+    rows = [(int(h), rng.integers(0, 900, 9).astype(np.int16).tobytes()) for h in rng.integers(-(2**62), 2**62, 400)] + [(5, b"\x01\x00" * 9)] * 200
+    units = spark.createDataFrame([(h, bytearray(u)) for h, u in rows], "hash long, units binary")
+    net = lm.fit_network(units, 9 * len(rows))
+    assert lm.training_parts(9 * len(rows)) == 27 and not any(np.isnan(v).any() for v in net.p.values())
+    again = lm.fit_network(units.repartition(5), 9 * len(rows))
+    assert all(np.array_equal(net.p[k], again.p[k]) for k in net.p)
