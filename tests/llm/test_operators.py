@@ -285,17 +285,69 @@ def test_language(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*range(120), 902}
 
 
-def test_language_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    grams = rng.integers(97, 101, (60, 4)).astype(np.uint64)
-    grams, counts = np.unique(grams, axis=0, return_counts=True)
-    m = language.KneserNey(["x"], np.zeros(len(grams), int), grams, counts)
-    alphabet = [*np.unique(grams).tolist(), 0x4E00]  # the last stands for all unknown characters
-    for context in ("abc", "bad", "ddd"):
-        c = np.array([[*map(ord, context), x] for x in alphabet], np.uint64).ravel()
-        h = language.gram_codes(c, 4)
-        logp = m._lookup(c, h, np.arange(0, len(c), 4))
-        assert math.isclose(np.exp(logp).sum(), 1, abs_tol=2e-3)
+class BruteKneserNey:
+    """Interpolated Kneser-Ney by definition, over strings and dictionaries."""
+
+    def __init__(self, texts, characters):
+        grams = Counter(t[i : i + 4] for t in texts for i in range(len(t) - 3))
+        self.levels = {4: grams}
+        for n in (3, 2, 1):
+            self.levels[n] = Counter(g[1:] for g in self.levels[n + 1])
+        self.uniform = 1 / (characters + 1)
+        self.total, self.types, self.discount = {}, {}, {}
+        for n, level in self.levels.items():
+            self.total[n], self.types[n] = Counter(), Counter()
+            for g, c in level.items():
+                self.total[n][g[:-1]] += c
+                self.types[n][g[:-1]] += 1
+            n1, n2 = (sum(c == x for c in level.values()) for x in (1, 2))
+            self.discount[n] = min(0.95, max(0.1, (n1 + 0.5) / (n1 + 2 * n2 + 1)))
+
+    def p(self, gram):
+        n = len(gram)
+        if not n:
+            return self.uniform
+        lower, total = self.p(gram[1:]), self.total[n][gram[:-1]]
+        if not total:
+            return lower
+        d = self.discount[n]
+        return max(self.levels[n][gram] - d, 0) / total + d * self.types[n][gram[:-1]] / total * lower
+
+    def entropy(self, text):
+        return -sum(math.log(self.p(text[i : i + 4])) for i in range(len(text) - 3)) / (len(text) - 3)
+
+
+def framed(text):
+    return "   " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()) + " ").lstrip()
+
+
+def test_language_models_are_kneser_ney(spark):
+    rng = random.Random(8)
+    rows = corpus(rng, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, _ = language.fit(docs)
+    seen = {c for _, t, _ in rows for c in framed(t)}
+    brute = [BruteKneserNey([framed(t) for _, t, x in rows if x == lang], len(seen)) for lang in model.langs]
+    asked = [t for _, t, _ in corpus(rng, 9)] + ["x", "Thaing, tha! 12", "一二 tha"]
+    got, sizes = model.entropies([t.encode() for t in asked])
+    for t, row, n in zip(asked, got, sizes):
+        assert n == len(framed(t)) - 3
+        assert np.allclose(row, [b.entropy(framed(t)) for b in brute], rtol=1e-4)
+
+
+def test_small_models_keep_small_languages_and_add_up(spark):
+    """With few entries to store, every language keeps its share of them, and what is cut falls back to lower orders."""
+    rng = random.Random(9)
+    rows = [r for r in corpus(rng, 300) if r[2] != "cc"] + [(1000 + i, "schüng einsch " * 5, "cc") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, _ = language.fit(docs, max_grams=60)
+    assert model.langs == ["aa", "bb", "cc"] and all(len(s.value) <= 60 for s in model.grams.values())
+    e, _ = model.entropies([b"einsch sch\xc3\xbcng", b"thaing ondtha", "eauqui ère".encode()])
+    assert e.argmin(1).tolist() == [2, 0, 1]
+    alphabet = sorted({c for _, t, _ in rows for c in framed(t)}) + ["一"]  # the last stands for all unknown characters
+    for context in ("tha", "ei ", "zzz", "  s"):
+        points = np.array([[ord(c) for c in context + x] for x in alphabet], np.uint64)
+        assert np.allclose(np.exp(model.log_rows(points)).sum(0), 1, atol=2e-3)
 
 
 def test_language_odd(spark, odd, empty):

@@ -50,6 +50,22 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == clean | {105}
 
 
+def test_language_stage_drops_junk(spark, folder):
+    """Keyboard noise, other scripts, hex and base64 lines go; unseen documents of the learnt languages stay."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = [lambda: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(4, 10))) for _ in range(40))]
+    noise.append(lambda: " ".join("".join(chr(rng.randint(0x430, 0x44F)) for _ in range(6)) for _ in range(40)))
+    noise.append(lambda: "".join(rng.choice(letters + letters.upper() + "0123456789+/") for _ in range(400)))
+    noise.append(lambda: " ".join(f"{rng.getrandbits(64):016x}" for _ in range(20)))
+    junk = [(1000 + i, rng.choice(noise)(), None, "s", 0) for i in range(100)]
+    good = [(2000 + i, prose(rng, rng.choice(["en", "fr"])), None, "s", 0) for i in range(100)]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.union(spark.createDataFrame(junk + good, docs.schema))
+    left = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, folder).collect()}
+    assert sum(i in left for i, *_ in junk) <= 10 and sum(i in left for i, *_ in good) >= 99
+
+
 def test_registration():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
