@@ -28,6 +28,7 @@ import pickle
 import zlib
 from collections import Counter
 from hashlib import sha256
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ SHORT, CLASSES, HEAD = 1023, 64, 65_536
 SIDE = 33
 HIDDEN, WINDOW, RATE = 16, 16, 6e-3
 #: Texts learnt from at once in a part: more lanes make faster, fewer make more updates; at least UPDATES are aimed at.
-LANES, UPDATES = 256, 256
+LANES, UPDATES = 512, 128
 #: Rounds of averaging; tokens of a part (more where PARTS would be exceeded) and of what is held in memory of it at once.
 ROUNDS, PART_TOKENS, PARTS, SEGMENT = 4, 1 << 20, 4096, 1 << 20
 #: Words above so many bytes are counted by their SHA-256.
@@ -114,13 +115,17 @@ class Vocabulary:
     def tokens(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Units of the text with its end, head index of each of its head words, and its words outside the head."""
         words = space_words(text) if text else []
-        at = np.fromiter((self.index.get(w if len(w) <= LONG_WORD else word_key(w), -1) for w in words), np.int32, len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
         units = np.empty(len(words) + 1, np.int32)
         units[-1] = SHORT
+        misses = np.flatnonzero(at < 0).tolist()
+        for i in misses:
+            if len(words[i]) > LONG_WORD:
+                at[i] = self.index.get(word_key(words[i]), -1)
         known = at >= 0
         if len(words):
             units[:-1] = self.unit[at] if len(self.unit) else 0
-        rest = [words[i] for i in np.flatnonzero(~known).tolist()]
+        rest = [words[i] for i in misses if at[i] < 0]
         if rest:
             units[:-1][~known] = [SHORT + 1 + word_class(w) for w in rest]
         return units, at[known], rest
@@ -157,16 +162,27 @@ class Network:
         n = np.tanh(a[:, 2 * HIDDEN :] + r * gn)
         return n + z * (h - n), z, r, n, gn
 
+    def _bounds(self) -> tuple[bool, np.ndarray]:
+        """Whether the logits of the groups, and of the units in each, are too small to overflow: no state is above one."""
+        size = lambda w, b, axis: np.abs(w).sum(axis).max(-1) + np.abs(np.where(np.isfinite(b), b, 0)).max(-1)
+        return bool(size(self.p["c"], self.p["cb"], 0) < 80), size(self.p["w"], self.p["wb"], 2) < 80
+
+    @staticmethod
+    def _softmax(logits: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """logits (less their greatest if that could overflow), their exponentials and the sums of those."""
+        if not safe:
+            logits -= logits.max(1, keepdims=True)
+        e = np.exp(logits)
+        return logits, e, e @ np.ones(e.shape[1], e.dtype)
+
     def loss(self, hs: np.ndarray, units: np.ndarray, grads: dict | None = None):
         """Natural log-probability of each unit after state hs; with grads: adds to them and gives d(loss)/d(hs)."""
         order = np.argsort(units % SIDE, kind="stable")
         hs, units = hs[order], units[order]
         first, inner = units % SIDE, units // SIDE
-        logits = hs @ self.p["c"] + self.p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
+        safe, inside = self._bounds() if np.abs(hs).max(initial=0) <= 1 else (False, np.zeros(SIDE, bool))
         rows = np.arange(len(units))
+        logits, e, total = self._softmax(hs @ self.p["c"] + self.p["cb"], safe)
         lp = logits[rows, first] - np.log(total)
         if grads is not None:
             e /= total[:, None]
@@ -179,10 +195,7 @@ class Network:
             if a == b:
                 continue
             h, t, i = hs[a:b], inner[a:b], rows[: b - a]
-            s = h @ self.p["w"][g].T + self.p["wb"][g]
-            s -= s.max(1, keepdims=True)
-            e = np.exp(s)
-            total = e.sum(1)
+            s, e, total = self._softmax(h @ self.p["w"][g].T + self.p["wb"][g], inside[g])
             lp[a:b] += s[i, t] - np.log(total)
             if grads is not None:
                 e /= total[:, None]
@@ -396,7 +409,7 @@ def tokenised(docs: DataFrame, words, text: str, keep: list[str]) -> DataFrame:
             head = [float(vocabulary.logc[x].sum()) + end for x in at]
             inner = [float(vocabulary.logc[x[x >= vocabulary.short]].sum()) - float(mass[u].sum()) for x, u in zip(at, units)]
             known = [len(x) + (vocabulary.end_count > 0) for x in at]
-            return [[len(u) for u in units], known, head, inner, [u.astype(np.int16).tobytes() for u in units], [[word_key(w) for w in r] for r in rest]]
+            return [[len(u) for u in units], known, head, inner, [u.astype(np.int16).tobytes() for u in units], [[w if len(w) <= LONG_WORD else word_key(w) for w in r] for r in rest]]
 
         return f
 
