@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -34,13 +31,14 @@ def alnum_words(text: bytes) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, else the checkpoint folder set in the session.
+
+    There is no other choice: a folder of one machine would be unseen by the others.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = path or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -131,9 +129,25 @@ def map_texts(
     return df.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, schema)
 
 
-def sql_like(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
+#: A key is hot above this share of the rows (there are fewer such keys than its inverse), and is dealt into so many parts.
+HOT_SHARE, HOT_PARTS = 1000, 32
+
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key) of those that hold more than one in HOT_SHARE of the rows: fewer than HOT_SHARE keys, so it can be broadcast."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.count()
+    return counts.filter((F.col("__n") > 1) & (F.col("__n") * HOT_SHARE > total) & F.col(key).isNotNull()).select(key)
 
-def log10(x: float) -> float:
-    return math.log10(x)
+
+def join_salted(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, parts: int = HOT_PARTS) -> DataFrame:
+    """rows joined with table (a row a key); rows of hot keys are dealt into `parts`, and the table's rows of those repeated.
+
+    rows should be read from storage, so that a task run again deals its rows alike.
+    """
+    mark = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    place = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(parts))).otherwise(0).cast("int")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(mark, key, "left").withColumn("__salt", place).drop("__hot")
+    right = table.join(mark, key, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return left.join(right, [key, "__salt"]).drop("__salt")

@@ -3,7 +3,7 @@
 Fingerprints: 64 bits, each set where over half of a text's word-shingle hashes (XXH64, seed 42) have it set.
 
 Search: every bit position gets a vector of RADIUS + 1 bits; for each non-zero vector v of that length one table keeps the
-positions whose vector has an even inner product with v. The at most RADIUS positions in which two fingerprints differ
+positions whose vector has an odd inner product with v. The at most RADIUS positions in which two fingerprints differ
 span at most RADIUS dimensions, so some v is orthogonal to all of them: in that table the two agree in all kept bits and
 collide. No pair within the radius is missed.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, space_words, stored
+from .common import hot_keys, join_salted, map_texts, space_words, stored
 from .components import components
 
 RADIUS = 3
@@ -36,6 +36,8 @@ SHINGLE = 3
 BITS = 64
 #: Fingerprints that are compared in one task's memory at once.
 BUCKET = 2048
+#: How many of the most frequent fingerprints are dealt out where their rows meet.
+HOT_PRINTS = 1000
 
 FINGERPRINT = T.StructType([T.StructField("fp", T.LongType())])
 
@@ -120,7 +122,8 @@ def forest(prints: np.ndarray, radius: int, nearest: int = 0) -> list[tuple[int,
                 edges += [(x, int(y)) for y in close[np.argsort(far[close], kind="stable")[:nearest]]]
 
 
-#: Bits of a filter for each key, and the most that a filter has: 64 MB, however many the keys.
+#: Bits of a filter for each key, and the most that a filter has: 64 MB, however many the keys. A filter only spares the
+#: join that follows it some rows; with more keys than it can tell apart more rows go into that join, none are lost.
 FILTER_RATE, FILTER_BITS = 16, 1 << 29
 
 
@@ -135,11 +138,11 @@ def key_filter(keys: DataFrame, n: int) -> np.ndarray:
     bits = min(FILTER_BITS, 1 << max(10, (FILTER_RATE * n - 1).bit_length()))
 
     def run(batches):
-        made = np.zeros(bits, bool)
+        made = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for at in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                made[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(made, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+                np.bitwise_or.at(made, at >> np.uint64(3), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([made.tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(bits // 8, np.uint8)
     for row in keys.repartition(4).mapInArrow(run, "bits binary").toLocalIterator():
@@ -203,7 +206,10 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, wi
     masks = covering_masks(radius)
     # Of equal fingerprints the first node stands for all: so the bits that a bucket leaves free bound its size.
     heads = stored(prints.groupBy("family", "fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")), "heads")
-    equal = prints.join(heads.filter("n > 1").select("family", "fp", F.col("node").alias("b")), ["family", "fp"])
+    named = lambda df: df.withColumn("__fp", F.xxhash64("family", "fp"))
+    many = named(heads.filter("n > 1").select("family", "fp", F.col("node").alias("b"), "n"))
+    hot = many.orderBy(F.desc("n"), "__fp").limit(HOT_PRINTS).select("__fp").distinct()
+    equal = join_salted(named(prints), many.withColumnsRenamed({"family": "f", "fp": "p"}), "__fp", hot).filter("family = f AND fp = p")
     out = equal.filter("node <> b").select(F.col("node").alias("a"), "b")
     dealt = heads.select("family", "node", "fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
     while True:
@@ -241,7 +247,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
     prints = stored(fingerprints(docs.select("doc_id", "text"), shingle=shingle, keep=["doc_id"]), "fingerprints")
     found = classes(prints, radius=radius, bucket=bucket)
-    return prints.join(found, "fp").select(
+    return join_salted(prints, found, "fp", hot_keys(prints, "fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
 
@@ -263,6 +269,7 @@ SKETCH = T.StructType(
         T.StructField("fps", T.ArrayType(T.LongType())),
         T.StructField("size", T.IntegerType()),
         T.StructField("prefix", T.ArrayType(T.LongType())),
+        T.StructField("parity", T.BinaryType()),
     ]
 )
 _ODD = [np.uint64(2 * x + 1) for x in range(0x1E3779B97F4A7C15, 0x1E3779B97F4A7C15 + FAMILIES * 0x51ED270B, 0x51ED270B)]
@@ -323,9 +330,31 @@ def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: f
     return own[np.lexsort((own, count))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
 
 
+#: The most bits of a set's parities: 4 KB.
+PARITY_BITS = 1 << 15
+
+
+def parities(own: np.ndarray) -> bytes:
+    """For each of a power of two of classes of hashes (about as many as the set has), whether an odd number is in the set.
+
+    Two sets differ in at least as many elements as their parities do in bits, so these show unlike sets at a glance.
+    """
+    bits = min(PARITY_BITS, 1 << max(6, (len(own) - 1).bit_length()))
+    odd = np.bincount((own.view(np.uint64) >> np.uint64(7) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """In how many bits two parities differ; the longer is folded to the classes of the shorter."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    n = min(len(p), len(q))
+    fold = lambda z: np.bitwise_xor.reduce(z.reshape(-1, n), axis=0) if len(z) > n else z
+    return int(np.bitwise_count(fold(p) ^ fold(q)).sum())
+
+
 def sketches(docs: DataFrame, text: str, keep: list[str], common=None, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with `__same`, equal for equal word sequences only, `fps`, fingerprints of the set of words, and the `size` and
-    `prefix` of the set of five-word shingles."""
+    """docs with `__same`, equal for equal word sequences only, `fps`, fingerprints of the set of words, and the `size`,
+    `prefix` and `parity` of the set of five-word shingles."""
     from xxhash import xxh64_intdigest, xxh128_digest
 
     shared = docs.sparkSession.sparkContext.broadcast(common or (np.zeros(0, np.int64), np.zeros(0, np.int64)))
@@ -334,7 +363,7 @@ def sketches(docs: DataFrame, text: str, keep: list[str], common=None, similarit
         common = shared.value
 
         def f(texts, _):
-            same, prints, sizes, firsts = [], [], [], []
+            same, prints, sizes, firsts, odd = [], [], [], [], []
             for t in texts:
                 words = space_words(t) if t else []
                 same.append(xxh128_digest(b" ".join(words)))
@@ -342,7 +371,8 @@ def sketches(docs: DataFrame, text: str, keep: list[str], common=None, similarit
                 own = shingle_set(words)
                 sizes.append(len(own))
                 firsts.append(prefix(own, common, similarity))
-            return [same, prints, sizes, firsts]
+                odd.append(parities(own))
+            return [same, prints, sizes, firsts, odd]
 
         return f
 
@@ -368,14 +398,12 @@ def name_sequences(docs: DataFrame, text: str, shared) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, text: str, keep: list[str], shingle: int = COPY_SHINGLE) -> DataFrame:
-    """docs with `shingles`: the sorted distinct hashes, 32 bits each, of all word shingles."""
-    new = T.StructType([T.StructField("shingles", T.ArrayType(T.IntegerType()))])
+    """docs with `shingles`: the sorted distinct 64-bit hashes of all word shingles."""
+    new = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def make():
         def f(texts, _):
-            words = (space_words(t) if t else [] for t in texts)
-            sets = (np.unique((np.array(shingle_hashes(w, shingle), np.uint64) & np.uint64(0x7FFFFFFF)).astype(np.int32)) if w else [] for w in words)
-            return [[pa.array(x, pa.int32()) for x in sets]]
+            return [[shingle_set(space_words(t) if t else [], shingle) for t in texts]]
 
         return f
 
@@ -404,6 +432,27 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return rows.select("a", "b", "x", "y").mapInArrow(run, EDGES)
 
 
+def likely_pairs(edges: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those edges (a, b) whose nodes (node, size, parity) can have this similarity: sizes and parities allow it.
+
+    Sets of m and n elements with Jaccard similarity s differ in at most (1 - s) / (1 + s) (m + n) elements.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for batch in batches:
+            m, n, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            kept = [parity_distance(p, q) <= share * (i + j) + 1e-6 for i, j, p, q in zip(m, n, x, y)]
+            kept = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], schema=schema)
+
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("parity").alias(f"parity_{c}"))
+    rows = edges.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    rows = rows.filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6)
+    return rows.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInArrow(run, EDGES)
+
+
 def rare_pairs(nodes: DataFrame, links: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Every pair (a, b) of nodes not yet linked whose shingle sets can be `similarity` alike.
 
@@ -447,7 +496,7 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
     spark = docs.sparkSession
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
     nodes = sketches(docs, "text", ["doc_id"], common_shingles(docs, "text"), similarity).groupBy("__same")
-    firsts = [F.first(c).alias(c) for c in ("fps", "size", "prefix")]
+    firsts = [F.first(c).alias(c) for c in ("fps", "size", "prefix", "parity")]
     nodes = nodes.agg(F.min(order).alias("least"), *firsts, F.count(F.lit(1)).alias("n"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     prints = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
@@ -457,6 +506,7 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
     half = F.conv(F.hex(F.substring("__same", 1, 8)), 16, -10).cast("long")  # as first_half
 
     def held(edges):
+        edges = stored(likely_pairs(edges, nodes.select("node", "size", "parity"), similarity), "likely")
         asked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
         firsts = stored(nodes.join(asked, "node").select("node", key("least.doc_id"), "__same"), "firsts")
         # Only rows that the filter of such keys lets through are shuffled with their texts; all others stand alone.
