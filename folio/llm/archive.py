@@ -7,7 +7,8 @@ afresh from its stored bytes. On writing, equal digests must also agree in lengt
 Of records with equal payloads of at least LEAST bytes the one with the smallest page_id is a response, the others are
 revisits that refer to it.
 
-Tables (Parquet, in the folder given): headers (digest, header), payloads (digest, payload).
+Tables (Parquet, in the folder given): headers (digest, header), payloads (digest, payload); facts and firsts, from which
+headers are made. Joins by digest deal the rows of a digest that many pages share over several tasks.
 
 Defined results: null html is an empty payload; null url is an empty target; line breaks in a url become spaces; rows with
 null page_id are revisits if a numbered page has the payload, else responses; rows repeated with one page_id and payload
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import hot_keys, join_salted, new_path
 
 LEAST = 100
 DATE = "2000-01-01T00:00:00Z"
@@ -68,27 +69,31 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
 
     Payloads cross one shuffle, only those that are stored, by page; the digests' groups are summed before theirs.
     """
+    spark = pages.sparkSession
     facts = _facts(pages, page_id, url, html)
-    crc = F.crc32("payload")
-    spans = [F.min("page_id").alias("first"), *(f(x).alias(n) for f, x, n in ((F.min, crc, "c0"), (F.max, crc, "c1"), (F.min, "n_bytes", "b0"), (F.max, "n_bytes", "b1")))]
-    firsts = facts.groupBy("digest").agg(*spans)
+    # Payloads are read twice: here for their facts, and below for those that are stored.
+    known = facts.select("page_id", "url", "digest", "n_bytes", F.crc32("payload").alias("crc"))
+    known.write.parquet(f"{path}/facts")
+    known = spark.read.schema(known.schema).parquet(f"{path}/facts")
+    spans = [F.min("page_id").alias("first"), *(f(x).alias(n) for f, x, n in ((F.min, "crc", "c0"), (F.max, "crc", "c1"), (F.min, "n_bytes", "b0"), (F.max, "n_bytes", "b1")))]
+    firsts = known.groupBy("digest").agg(*spans)
     equal = (F.col("c0") == F.col("c1")) & (F.col("b0") == F.col("b1"))
     checked = F.when(equal, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("two payloads of digest "), F.col("digest"))))
     firsts = firsts.select(checked.alias("digest"), "first")
-    path_firsts = f"{path}/firsts"
-    firsts.write.parquet(path_firsts)
-    firsts = pages.sparkSession.read.schema(firsts.schema).parquet(path_firsts)
+    firsts.write.parquet(f"{path}/firsts")
+    firsts = spark.read.schema(firsts.schema).parquet(f"{path}/firsts")
 
-    heads = facts.select("page_id", "url", "digest", "n_bytes").join(firsts, "digest")
+    heads = join_salted(known.select("page_id", "url", "digest", "n_bytes"), firsts, "digest", hot_keys(known, "digest"))
     other = (F.col("n_bytes") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     text = header(F.col("page_id"), F.col("url"), F.col("digest"), F.col("n_bytes"), F.when(other, F.col("first")))
     heads.select("digest", text.cast("binary").alias("header")).write.parquet(f"{path}/headers")
 
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # Pages without a number share a key: each takes one of many by its payload.
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.concat(F.lit("-"), "digest"))
     chosen = facts.select(key("page_id").alias("key"), "digest", "payload").join(
         firsts.select(key("first").alias("key"), "digest"), ["key", "digest"], "left_semi"
     )
-    # Rows repeated with one page_id and payload: one of them.
+    # Rows repeated with one page_id and payload: one of them; each task keeps one before the shuffle.
     once = chosen.groupBy("key", "digest").agg(F.first("payload").alias("payload"))
     once.select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
@@ -106,7 +111,7 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Every archived record, rebuilt: header, record (its exact bytes), payload (a revisit's too), digest, n_bytes."""
     headers = spark.read.schema("digest string, header binary").parquet(f"{path}/headers")
-    joined = headers.join(payloads(spark, path), "digest")
+    joined = join_salted(headers, payloads(spark, path), "digest", hot_keys(headers, "digest"))
     block = F.when(F.col("header").cast("string").contains(f"{CRLF}WARC-Type: revisit{CRLF}"), F.lit("").cast("binary")).otherwise(F.col("payload"))
     end = F.lit(CRLF + CRLF).cast("binary")
     return joined.withColumn("record", F.concat("header", block, end))

@@ -1,9 +1,12 @@
 """Licence scan: Dice coefficient over the distinct word bigrams of normalised texts and licence templates.
 
-The units compared are every line of a text, every run of lines between blank lines and the whole text (where these
-differ). Normalised: A-Z lower-cased, words of letters, digits and characters beyond ASCII. With a and b bigrams the
-coefficient is at most 2 min(a, b) / (a + b), so a template is a candidate only for units whose number of bigrams lies
-between its own times LEAST / (2 - LEAST) and its own times the inverse; units of any other size are passed over.
+The units compared are every line of a text, the sentences of lines that have several, and every sequence of paragraphs
+(lines between lines without words) whose number of bigrams a template allows: so a licence of several paragraphs is found
+above code, in comments and re-wrapped. Normalised: A-Z lower-cased, words of letters, digits and characters beyond ASCII.
+With a and b bigrams the coefficient is at most 2 min(a, b) / (a + b), so a template is a candidate only for units whose
+number of bigrams lies between its own times LEAST / (2 - LEAST) and its own times the inverse; units of any other size are
+passed over. A unit that matches needs half of its template's bigrams and more in the text, so texts without are done with
+after their lines.
 
 Defined results: null or empty texts, units of fewer than two words: no match; several templates at one coefficient: the
 first by name; repeated rows each get their result. Columns named like the new ones are replaced.
@@ -12,6 +15,7 @@ first by name; repeated rows each get their result. Columns named like the new o
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -142,6 +146,11 @@ class Templates:
             n: [(name, b) for name, b in self.all if 2 * min(n, len(b)) >= least * (n + len(b))] for n in range(self.low, self.high + 1)
         }
 
+    def possible(self, words: list[bytes]) -> bool:
+        """Whether the text has so many bigrams of a template that a unit of it can match."""
+        own = bigrams(words)
+        return any(len(b & own) * (2 - self.least) >= self.least * len(b) for _, b in self.all)
+
     def best(self, words: list[bytes]) -> tuple[float, str] | None:
         if len(words) <= self.low:
             return None
@@ -154,22 +163,40 @@ class Templates:
         return found
 
 
-def units(text: bytes) -> Iterator[list[bytes]]:
-    """The words of every line, of every run of several lines between blank ones, and of the whole text if it has several runs."""
-    lines = [alnum_words(x) for x in text.split(b"\n")]
+SENTENCE_END = re.compile(rb"[.;!?][ \t]+")
+
+
+def units(text: bytes, high: int, more) -> Iterator[list[bytes]]:
+    """The words of every line, of the sentences of lines with several, and of every sequence of several lines of paragraphs.
+
+    high: the bigrams that a unit can have at most; more(words): whether sequences of paragraphs of so many words can match.
+    """
+    raw = text.split(b"\n")
+    lines = [alnum_words(x) for x in raw]
     yield from lines
-    runs: list[list[list[bytes]]] = [[]]
-    for raw, words in zip(text.split(b"\n"), lines):
-        if raw.strip():
+    for x in raw:
+        pieces = SENTENCE_END.split(x)
+        if len(pieces) > 1:
+            yield from map(alnum_words, pieces)
+    runs, in_run = [], False
+    for words in lines:
+        if words and in_run:
             runs[-1].append(words)
-        elif runs[-1]:
-            runs.append([])
-    runs = [r for r in runs if r]
-    for run in runs:
-        if len(run) > 1:
-            yield [w for words in run for w in words]
-    if len(runs) > 1:
-        yield [w for words in lines for w in words]
+        elif words:
+            runs.append([words])
+        in_run = bool(words)
+    flat = [([w for words in run for w in words], len(run)) for run in runs]
+    if not any(n > 1 for _, n in flat) and len(flat) < 2 or not more([w for words, _ in flat for w in words]):
+        return
+    for i in range(len(flat)):
+        words, seen, n = [], set(), 0
+        for own, k in flat[i:]:
+            seen.update(zip([*words[-1:], *own], own if words else own[1:]))
+            words, n = words + own, n + k
+            if len(seen) > high:
+                break
+            if n > 1:
+                yield words
 
 
 FOUND = T.StructType(
@@ -190,7 +217,7 @@ def find_licenses(docs: DataFrame, text: str = "text", keep: list[str] | None =
         def f(texts, _):
             names, scores, counts = [], [], []
             for t in texts:
-                found = [x for x in map(known.best, units(t)) if x] if t else []
+                found = [x for x in map(known.best, units(t, known.high, known.possible)) if x] if t else []
                 score, name = min(found, key=lambda x: (-x[0], x[1])) if found else (None, None)
                 names.append(name)
                 scores.append(score)

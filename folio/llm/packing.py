@@ -5,7 +5,7 @@ that minimise padding. Inside each bucket rows form batches of at most TOKENS pa
 
 Histogram bins are exact up to FINE tokens and at most 1/256 wide beyond (rounded up), so the program's size is bounded by
 the logarithm of the longest text; boundaries are then optimal over bin ends. Rows of a bucket are dealt into groups of
-about GROUP rows by a hash, and batches form inside a group: only a group's last batch can stay short, and no task needs a
+about GROUP rows by a hash of their number in the stored table of lengths, and batches form inside a group: only a group's last batch can stay short, and no task needs a
 whole bucket.
 
 Defined results: null or empty texts have 0 tokens and form batches in the smallest bucket; a text longer than TOKENS is a
@@ -94,9 +94,8 @@ def pack(
         chosen = [(0, 0)]
     rows = lengths.withColumn("bucket", bucket.cast("int")).withColumn("padded", of([e for e, _ in chosen]).cast("long"))
     groups = of([max(1, -(-n // group)) for _, n in chosen])
-    rows = rows.withColumn("__group", F.pmod(F.xxhash64(key, "n_tokens"), groups).cast("int"))
-    # Equal rows share a hash: a group is cut further by a number that only spreads rows.
-    rows = rows.withColumn("__group", F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), groups)).otherwise(F.col("__group")).cast("int"))
+    # Groups are dealt by the stored rows' numbers, so that neither equal keys nor equal rows meet in one.
+    rows = rows.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), groups).cast("int"))
     place = F.row_number().over(Window.partitionBy("bucket", "__group").orderBy("n_tokens", key)) - 1
     fit = F.greatest(F.lit(1), (F.lit(tokens) / F.greatest(F.col("padded"), F.lit(1))).cast("int"))
     rows = rows.withColumn("__place", place).withColumn("__fit", fit)

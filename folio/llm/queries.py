@@ -129,20 +129,32 @@ FROM d LEFT JOIN covered c USING (rid) LEFT JOIN items USING (rid)
 def _license_sql() -> str:
     rows = ", ".join(f"({_quote(name)}, {_quote(text)})" for name, text in licenses.TEMPLATES)
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    templates = licenses.Templates()
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 l AS (
-  SELECT rid, i, ls[i] AS line, regexp_matches(ls[i], '[^\\x09-\\x0D\\x20]') AS has_text FROM (
+  SELECT rid, i, ls[i] AS line, {_words("ls[i]")} AS w FROM (
     SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT rid, string_split(t, chr(10)) AS ls FROM d)
   )
 ),
-r AS (SELECT *, sum(CASE WHEN has_text THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM l),
+r AS (SELECT *, sum(CASE WHEN len(w) > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM l),
+p AS (
+  SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY run) AS k, flatten(list(w ORDER BY i)) AS w, count(*) AS n
+  FROM r WHERE len(w) > 0 GROUP BY rid, run
+),
+q AS (
+  SELECT rid, k, w, n, {grams} AS b FROM p WHERE len({grams}) <= {templates.high}
+  UNION ALL
+  SELECT rid, k, w, n, {grams} AS b FROM (SELECT q.rid, p.k, q.w || p.w AS w, q.n + p.n AS n FROM q JOIN p ON p.rid = q.rid AND p.k = q.k + 1)
+  WHERE len({grams}) <= {templates.high}
+),
 u AS (
-  SELECT rid, line AS u FROM l
-  UNION ALL SELECT rid, string_agg(line, ' ' ORDER BY i) FROM r WHERE has_text GROUP BY rid, run HAVING count(*) > 1
-  UNION ALL SELECT rid, any_value(t) FROM r JOIN d USING (rid) WHERE has_text GROUP BY rid HAVING count(DISTINCT run) > 1
+  SELECT rid, w FROM l
+  UNION ALL SELECT rid, {_words("s")} FROM (
+    SELECT rid, unnest(string_split_regex(line, '[.;!?][ \\t]+')) AS s FROM l WHERE regexp_matches(line, '[.;!?][ \\t]+'))
+  UNION ALL SELECT rid, w FROM q WHERE n > 1
 ),
-g AS (SELECT rid, row_number() OVER () AS uid, {grams} AS b FROM (SELECT rid, {_words("u")} AS w FROM u)),
+g AS (SELECT rid, row_number() OVER () AS uid, {grams} AS b FROM u),
 t AS (SELECT name, {grams} AS b FROM (SELECT name, {_words("text")} AS w FROM (VALUES {rows}) AS v(name, text))),
 s AS (
   SELECT rid, uid, name, 2 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b))::DOUBLE AS dice

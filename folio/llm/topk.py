@@ -2,14 +2,15 @@
 
 Vectors are grouped by length (logarithmic norm bins, read off a histogram); a bin of more than BLOCK vectors is dealt into
 several blocks by a hash, so a length that many share is no hot group. The blocks of the longest bin are searched first and
-give each query a threshold. Then every query block meets every other block (a stated query set against all rows, in
-blocks). In a block, a query's local cosine threshold is its threshold over the product of its own length and the block's
+give each query a threshold. Then every query meets the blocks of the bins that can reach it (a stated query set against
+all rows, in blocks); the others are left out before anything is moved. In a block, a query's local cosine threshold is its threshold over the product of its own length and the block's
 longest. Above one the block is skipped; where it is high, coordinates prune: a vector at that angle must have the query's
 largest coordinates within certain bounds; where it is low, length prunes. What is left is verified by exact products.
 
 Defined results: vectors null or with null, NaN or infinite components take no part; null vec_ids are candidates of no one
 and no queries; shorter vectors count as padded with zeros; ties go to the smaller vec_id; rows repeated with one vec_id are
-candidates each, and one query; an empty table gives an empty result.
+candidates each, and one query; an empty table gives an empty result. A finite vector whose quantised length is 2^31 or
+more could have products beyond 64 bits: the search fails and names it, rather than give a wrapped score.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 from .common import stored
 
 TOP, BLOCK, QUERIES = 5, 8192, 1024
+#: Quantised vectors are shorter than this, so that no inner product leaves 64 bits.
+LONGEST = 1 << 31
 #: Local cosine threshold from which coordinates prune better than lengths; how many coordinates.
 STEEP, COORDINATES = 0.6, 4
 
@@ -36,7 +39,9 @@ def quantised(table: DataFrame, scale: int = 256) -> DataFrame:
     rows = table.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
     vec = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return rows.select(F.col("vec_id").cast("long"), vec.alias("vec")).withColumn("norm", norm)
+    rows = rows.select(F.col("vec_id").cast("long"), vec.alias("vec")).withColumn("norm", norm)
+    long = F.raise_error(F.concat(F.lit("vector too long for 64-bit products: vec_id "), F.col("vec_id").cast("string")))
+    return rows.withColumn("norm", F.when(F.col("norm") < float(LONGEST), F.col("norm")).otherwise(long.cast("double")))
 
 
 def matrix(vectors: pa.Array, dims: int) -> np.ndarray:
@@ -159,22 +164,31 @@ def top_k(table: DataFrame, query, top: int = TOP, scale: int = 256, block: int
     blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("vec_id", "vec")).alias("rows"))
     blocks = stored(blocks, "blocks")
 
-    asked = rows.filter("is_query").select("vec_id", "vec").dropDuplicates(["vec_id"])
+    asked = rows.filter("is_query").select("vec_id", "vec", "norm").dropDuplicates(["vec_id"])
     asked = stored(asked, "queries")
     n_blocks = max(1, -(-asked.count() // queries))
 
-    def grouped(q: DataFrame) -> DataFrame:
-        q = q.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("qb"))
+    def grouped(q: DataFrame, *keys: str) -> DataFrame:
+        q = q.groupBy(*keys, F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("qb"))
         return q.agg(F.collect_list(F.struct("vec_id", "vec", "least")).alias("queries"))
 
-    seeds = grouped(asked.withColumn("least", F.lit(float("nan")))).withColumn("block", F.lit(0))
-    found = stored(_search_pairs(seeds.join(blocks, "block"), top), "seeds")
+    # The longest vectors go to every block of queries.
+    longest = blocks.filter("block = 0").select("rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("qb"))
+    seeds = grouped(asked.withColumn("least", F.lit(float("nan")))).withColumn("qb", F.col("qb").cast("long"))
+    found = stored(_search_pairs(seeds.join(longest.hint("merge"), "qb"), top), "seeds")
     if total == 1:
         return _ranked(found, top).select("query_id", "rank", "vec_id", "score")
     least = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("least"))
     least = least.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= top, F.col("least")).otherwise(float("nan")).alias("least"))
-    again = grouped(asked.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("nan")))))
-    pairs = again.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(total - 1)))).repartition(total, "block")
+    again = asked.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("nan"))))
+    # A query goes to the blocks of bins whose longest vectors can reach its threshold: a prefix, as bins fall in length.
+    reach = F.when(F.isnan("least") | (F.col("norm") == 0), F.lit(float("-inf"))).otherwise(F.col("least") / F.col("norm") * (1 - 1e-9) - 1e-6)
+    last = F.lit(0)
+    for b, _ in sizes:  # the bin b ends at 2^((b + 1) / 4) - 1
+        last = F.when(F.lit(2.0 ** ((b + 1) / 4) - 1) >= F.col("reach"), first[b] + parts[b] - 1).otherwise(last)
+    again = again.withColumn("reach", reach).withColumn("last", last)
+    pairs = grouped(again.filter("last > 0"), "last")
+    pairs = pairs.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("last")))).repartition(total, "block")
     rest = _search_pairs(pairs.join(blocks, "block"), top)
     return _ranked(found.union(rest), top).select("query_id", "rank", "vec_id", "score")
 
