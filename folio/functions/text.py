@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values.
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 #: A line-end hyphenation (soft hyphen, hyphen or non-breaking hyphen before a line break), or a soft hyphen alone.
@@ -93,10 +94,14 @@ def tidy_context(c: Column) -> Column:
     return collapse(F.regexp_replace(joined, r"([‐‑-])[ \t]*\r?\n\s*", "$1"))
 
 
-def context(text: Column, start: Column, length: Column) -> Column:
+def sentence_breaks(text: Column) -> Column:
+    """Where sentences end in a text, as array<struct<start,text>>; made once for a text, however many matches it has."""
+    return matches(text, r"""[.!?]["')\]”’]*""" + SPACE + r"+|\n[ \t]*\n")
+
+
+def context(text: Column, start: Column, length: Column, breaks: Column) -> Column:
     """The sentence around a match; where it is longer than LONGEST_SENTENCE or has no near edge, a window of whole words."""
     end = start + length
-    breaks = matches(text, r"""[.!?]["')\]”’]*""" + SPACE + r"+|\n[ \t]*\n")
     before = F.filter(breaks, lambda b: (b["start"] + F.length(b["text"]) <= start) & (b["start"] >= start - LONGEST_SENTENCE))
     after = F.filter(breaks, lambda b: (b["start"] >= end) & (b["start"] <= end + LONGEST_SENTENCE))
     left = F.array_max(F.transform(before, lambda b: b["start"] + F.length(b["text"])))
@@ -124,7 +129,8 @@ def shown(c: Column) -> Column:
 
 
 def match_case(original: Column, suggestion: Column) -> Column:
-    upper = (original == F.upper(original)) & (original != F.lower(original)) & (F.length(original) > 1)
+    """The suggestion in the original's case: all capitals (also of one letter), a capital first, or as it is."""
+    upper = (original == F.upper(original)) & (original != F.lower(original))
     capital = F.substring(original, 1, 1) != F.lower(F.substring(original, 1, 1))
     rest = F.concat(F.upper(F.substring(suggestion, 1, 1)), F.substring(suggestion, 2, 1 << 30))
     return F.when(upper, F.upper(suggestion)).when(capital, rest).otherwise(suggestion)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import context, keyword_pattern, matches, snippet, tidy_match
+from folio.functions.text import context, keyword_pattern, matches, sentence_breaks, snippet, tidy_match
 
 
 def units(paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -56,7 +56,8 @@ def lexical_summary(hits: DataFrame) -> DataFrame:
 def occurrences(unit: DataFrame, keyword: str) -> DataFrame:
     """A row for every occurrence in the corpus, numbered from 1 in the reading order of its document."""
     pattern = keyword_pattern(keyword, hyphenated=True)
-    hits = unit.filter(F.col("text").rlike(pattern)).withColumn("m", F.explode(matches(F.col("text"), pattern)))
+    hits = unit.filter(F.col("text").rlike(pattern)).withColumn("breaks", sentence_breaks(F.col("text")))
+    hits = hits.withColumn("m", F.explode(matches(F.col("text"), pattern)))
     order = Window.partitionBy("doc_id").orderBy("unit_ord", "m.start")
     return hits.select(
         "doc_id",
@@ -65,7 +66,7 @@ def occurrences(unit: DataFrame, keyword: str) -> DataFrame:
         F.lit(keyword).alias("keyword"),
         F.col("m.start").alias("start"),
         tidy_match(F.col("m.text")).alias("match_text"),
-        context(F.col("text"), F.col("m.start"), F.length("m.text")).alias("context"),
+        context(F.col("text"), F.col("m.start"), F.length("m.text"), F.col("breaks")).alias("context"),
         F.row_number().over(order).cast("long").alias("occurrence_index"),
     )
 

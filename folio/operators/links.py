@@ -14,10 +14,10 @@ CAPTION_KINDS = ["Figure", "Table"]
 CAPTION = r"(?i)^(Table|Figure)\s+(\d+(?:\.\d+)*)((?:[.-]\d+)*)\s*[:.–—-]?\s*(.*)?$"
 CUE = r"(?i)\b(?:see\s*/\s*refer(?:s|red)?\s+to|see\s+also|refer(?:s|red)?\s+to|see|described\s+in|shown\s+in|depicted\s+in)[ \t]*"
 NEXT = r"""^[A-Za-z0-9:/'"\-]+"""
-FUNCTION_WORDS = "to in for on at of and or from".split()
-CUE_SUBJECTS = (
-    "i you we they he she it user users operator operators can could will would should may might do does did to not never cannot"
-).split()
+FUNCTION_WORDS = ["to", "in", "for", "on", "at", "of", "and", "or", "from"]
+CUE_SUBJECTS = [
+    "i", "you", "we", "they", "he", "she", "it", "user", "users", "operator", "operators", "can", "could", "will", "would", "should", "may", "might", "do", "does", "did", "to", "not", "never", "cannot",
+]
 EXACT, SIBLING, LINK_SNIPPET = 0.95, 0.72, 12
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values.
 TOP, STRONG, MODERATE = 5, 0.60, 0.45
 BATCH, DIM = 64, 768
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
@@ -48,22 +49,42 @@ def hashed_encoder(dim: int = DIM) -> Callable[[list[str]], np.ndarray]:
 
 
 def embed(chunks: DataFrame, make_encoder=hashed_encoder, text: str = "text") -> DataFrame:
-    """chunks with `embedding`; the encoder is made once for each worker and gets batches of BATCH passages."""
+    """chunks with `embedding`; the encoder is made once for each worker and gets batches of BATCH passages.
+
+    A batch that fails has null embeddings, so that one bad passage fails no job.
+    """
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = make_encoder()
         for texts in batches:
-            rows = [v for i in range(0, len(texts), BATCH) for v in encode(list(texts[i : i + BATCH]))]
-            yield pd.Series([list(map(float, v)) for v in rows], index=texts.index)
+            rows: list = []
+            for i in range(0, len(texts), BATCH):
+                own = list(texts[i : i + BATCH])
+                try:
+                    rows += list(np.asarray(encode(own), np.float32))
+                except Exception:  # the contract: passages that cannot be encoded match nothing, the search goes on
+                    rows += [None] * len(own)
+            yield pd.Series(rows, index=texts.index)
 
     return chunks.withColumn("embedding", run(text))
 
 
+def unavailable(make_encoder, dim: int | None = None) -> str | None:
+    """Why an encoder cannot be used: it fails, or its vectors have other than `dim` numbers. Null if it can."""
+    try:
+        got = np.asarray(make_encoder()([QUERY_PREFIX]))
+    except Exception as e:
+        return f"unavailable: semantic search failed ({e})"
+    if dim is not None and (got.ndim != 2 or got.shape[1] != dim):
+        return f"unavailable: expected {dim}-dim embeddings, got {got.shape[-1] if got.ndim else 0}"
+    return None
+
+
 def search(chunks: DataFrame, query: str, pattern: str, make_encoder=hashed_encoder, top: int = TOP, least: float | None = None) -> DataFrame:
     """The best chunks of each document that do not hold the query itself: doc_id, page, chunk_index, score, relevance, rank."""
     vector = [float(x) for x in make_encoder()([QUERY_PREFIX + query])[0]]
-    rows = embed(chunks.filter(~F.col("text").rlike(pattern)), make_encoder)
+    rows = embed(chunks.filter(~F.col("text").rlike(pattern)), make_encoder).filter("embedding IS NOT NULL")
     rows = rows.withColumn("score", dot(F.col("embedding"), F.array(*[F.lit(x) for x in vector])))
     rows = rows if least is None else rows.filter(F.col("score") >= least)
     return rank_chunks(rows, top).withColumn("relevance", band(F.col("score")))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from folio.functions.text import match_case, replace_word
 
 # Fixed values.
-DEFAULT_TERMS = "gnodeb enodeb mocn rsrp rsrq sinr airscale_rnc nodeb ranslicing oss bts".split()
+DEFAULT_TERMS = ("gnodeb", "enodeb", "mocn", "rsrp", "rsrq", "sinr", "airscale_rnc", "nodeb", "ranslicing", "oss", "bts")
 CONFUSIONS = {
     "form": "from",
     "thier": "their",
@@ -31,9 +31,11 @@ CONFUSIONS = {
     "paramters": "parameters",
 }
 FORM_AFTER = (
-    "retrieved read copied taken derived obtained loaded extracted sent removed returned came come differ apart"
-).split()
-FORM_BEFORE = "the a an this that these those oss database server system".split()
+    "retrieved", "read", "copied", "taken", "derived", "obtained", "loaded", "extracted", "sent", "removed", "returned", "came", "come", "differ", "apart",
+)
+FORM_BEFORE = ("the", "a", "an", "this", "that", "these", "those", "oss", "database", "server", "system")
+INSTRUCTION = "Fix spelling errors only. Do not change grammar, wording, plurality, punctuation, or meaning: "
+LONGEST_OUTPUT = 128
 BATCH = 52
 COMMON, UNKNOWN, RARE, MARGIN, SUGGESTED, STEM, SHORTEST = 4.0, 1.0, 3.3, 1.5, 3.0, 2.5, 3
 
@@ -51,7 +53,7 @@ def terms(spark, loaded: DataFrame | None = None) -> DataFrame:
 def looks_protected(word: Column) -> Column:
     """Camel case, a digit or underscore, or all capitals of several letters."""
     capitals = (word == F.upper(word)) & (word != F.lower(word)) & (F.length(word) > 1)
-    return word.rlike("[a-z][A-Z]|[0-9]|_") | capitals
+    return word.rlike(r"[a-z][A-Z]|\p{Nd}|_") | capitals
 
 
 def protected(words: DataFrame, known: DataFrame, word: str = "word") -> DataFrame:
@@ -100,7 +102,7 @@ def confusions(sentences: DataFrame, known: DataFrame) -> DataFrame:
     low = F.lower("word")
     mapped = F.element_at(F.create_map(*[F.lit(x) for kv in CONFUSIONS.items() for x in kv]), low)
     before, after = F.lower(F.get("w", F.col("i") - 1)), F.lower(F.get("w", F.col("i") + 1))
-    fits = (low != "form") | F.coalesce(before.isin(FORM_AFTER), F.lit(False)) | F.coalesce(after.isin(FORM_BEFORE), F.lit(False))
+    fits = (low != "form") | F.coalesce(before.isin(*FORM_AFTER), F.lit(False)) | F.coalesce(after.isin(*FORM_BEFORE), F.lit(False))
     rows = rows.filter(low.isin(list(CONFUSIONS)) & fits).withColumn("suggestion", mapped)
     rows = protected(rows, known).filter("NOT protected")
     rows = rows.filter(likely(F.col("word"), F.col("suggestion")))
@@ -108,16 +110,33 @@ def confusions(sentences: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def corrected(sentence: Column) -> Column:
-    """The sentence with every word of the confusion map (`form` in its context only) replaced, in the map's case."""
-    out = sentence
-    for wrong, right in CONFUSIONS.items():
-        if wrong == "form":
-            before, after = "|".join(FORM_AFTER), "|".join(FORM_BEFORE)
-            out = F.regexp_replace(out, rf"(?i)\b({before})(\s+)form\b", f"$1$2{right}")
-            out = F.regexp_replace(out, rf"(?i)\bform(\s+)({after})\b", f"{right}$1$2")
-        else:
-            out = F.regexp_replace(out, rf"(?i)\b{wrong}\b", right)
-    return out
+    """The sentence with the words of the confusion map corrected, in the map's case.
+
+    For each such word (`form` only between the right neighbours among the words) the first place where it stands is
+    replaced, one after another.
+    """
+    words = tokens(sentence)
+    low = F.transform(words, F.lower)
+    known = F.create_map(*[F.lit(x) for kv in CONFUSIONS.items() for x in kv])
+
+    def hit(w: Column, i: Column) -> Column:
+        own, before, after = F.lower(w), F.get(low, i - 1), F.get(low, i + 1)
+        fits = F.coalesce(before.isin(*FORM_AFTER), F.lit(False)) | F.coalesce(after.isin(*FORM_BEFORE), F.lit(False))
+        return F.struct(w.alias("word"), F.when((own != "form") | fits, F.element_at(known, own)).alias("new"))
+
+    hits = F.filter(F.transform(words, hit), lambda x: x["new"].isNotNull())
+    fixed = F.aggregate(hits, sentence, lambda s, x: replace_word(s, x["word"], x["new"]))
+    return F.when(F.lower(sentence).rlike("|".join(CONFUSIONS)), fixed).otherwise(sentence)
+
+
+def prompted(make_model: Callable[[], Callable[..., list[str]]]) -> Callable[[], Callable[[list[str]], list[str]]]:
+    """A corrector from a text-to-text model: generate(prompts, max_length) gets every sentence after INSTRUCTION."""
+
+    def make():
+        generate = make_model()
+        return lambda texts: generate([INSTRUCTION + t for t in texts], max_length=LONGEST_OUTPUT)
+
+    return make
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("original", T.StringType()), T.StructField("suggestion", T.StringType())])))
@@ -138,11 +157,30 @@ def word_changes(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(before, after)])
 
 
-def vocabulary(words: DataFrame) -> DataFrame:
-    """(word, zipf) from a column `word`: log10 of the relative frequency, plus nine. The total reuses the shuffled counts."""
+def frequency_list(table: DataFrame) -> DataFrame:
+    """(word, zipf) from a list (word, frequency) of relative frequencies or counts: words of letters, in lower case.
+
+    Frequencies are taken relative to their sum if that is above one.
+    """
+    rows = table.select(F.lower(F.trim("word")).alias("word"), F.col("frequency").cast("double").alias("f"))
+    rows = rows.filter(F.col("word").rlike(r"^\p{L}+$") & (F.col("f") > 0)).groupBy("word").agg(F.sum("f").alias("f"))
+    total = F.greatest(rows.agg(F.sum("f")).scalar(), F.lit(1.0))
+    return rows.select("word", (F.log10(F.col("f") / total) + 9).alias("zipf"))
+
+
+def read_frequencies(spark, path: str) -> DataFrame:
+    """(word, zipf) of a file of words and frequencies apart by a tab."""
+    return frequency_list(spark.read.csv(path, sep="\t", schema="word string, frequency double"))
+
+
+def vocabulary(words: DataFrame, least: int = 1) -> DataFrame:
+    """(word, zipf) of words that occur `least` times or more, from a column `word`: log10 of the relative frequency, plus nine.
+
+    The total is of all words and reuses the shuffled counts.
+    """
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    return counts.select("word", (F.log10(F.col("n") / total) + 9).alias("zipf"))
+    return counts.filter(F.col("n") >= least).select("word", (F.log10(F.col("n") / total) + 9).alias("zipf"))
 
 
 def stems(word: Column) -> tuple[Column, Column]:
@@ -219,11 +257,16 @@ def suggest(words: DataFrame, vocab: DataFrame) -> DataFrame:
     as_loose = own.filter((F.col("zipf") < UNKNOWN) & (F.length("word") > SHORTEST)).select("word", F.explode(loose).alias("stem")).join(known, "stem", "left_semi").select("word")
     own = own.join(as_loose, "word", "left_anti")
     good = vocab.filter((F.col("zipf") >= SUGGESTED) & F.col("word").rlike("^[a-z]+$")).select(F.col("word").alias("other"), F.col("zipf").alias("better"))
-    left = own.select("word", "zipf", F.explode(deletions(F.col("word"))).alias("part"))
+    # Words of three letters can only have two swapped, which one deletion shows; so no part is a single letter.
+    parts = F.when(F.length("word") <= SHORTEST, deletions(F.col("word"), 1)).otherwise(deletions(F.col("word")))
+    left = own.select("word", "zipf", F.explode(parts).alias("part"))
     right = good.select("other", "better", F.explode(deletions(F.col("other"))).alias("part"))
     pairs = left.join(right, "part").select("word", "zipf", "other", "better").distinct().filter("word <> other")
-    pairs = pairs.withColumn("far", damerau("word", "other")).filter("far <= 2")
+    # A swap counts two plain edits: only pairs at three or four of those need the full distance, two and less do not.
     swap = transposed(F.col("word"), F.col("other"))
+    pairs = pairs.withColumn("plain", F.levenshtein("word", "other", 4)).filter("plain >= 0")
+    close = pairs.filter("plain <= 2").withColumn("far", F.when((F.col("plain") == 2) & swap, 1).otherwise(F.col("plain")))
+    pairs = close.unionByName(pairs.filter("plain > 2").withColumn("far", damerau("word", "other")).filter("far <= 2"))
     short = (F.length("word") > SHORTEST) | (swap & (F.col("better") >= F.col("zipf") + MARGIN))
     rare = (F.col("zipf") < UNKNOWN) | ((F.col("far") == 1) & (F.length("other") >= F.length("word")) & (F.col("better") >= F.col("zipf") + MARGIN))
     best = F.row_number().over(Window.partitionBy("word").orderBy("far", F.desc("better"), "other"))
@@ -249,7 +292,7 @@ def model_changes(sentences: DataFrame, vocab: DataFrame, make_corrector: Callab
     """sentences with original, suggestion, corrected, at: words that a corrector changed, likely and verified ones only.
 
     make_corrector() is called once for each task and gives f(sentences) -> sentences; without one, the confusion map
-    corrects. Only sentences that it changes go on.
+    corrects, and so it does the sentences of a batch that fails. Only sentences that are changed go on.
     """
     if make_corrector is None:
         fixed = corrected(F.col("sentence"))
@@ -259,10 +302,17 @@ def model_changes(sentences: DataFrame, vocab: DataFrame, make_corrector: Callab
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             correct = make_corrector()
             for texts in batches:
-                done = [y for i in range(0, len(texts), BATCH) for y in correct(list(texts[i : i + BATCH]))]
+                done: list = []
+                for i in range(0, len(texts), BATCH):
+                    own = list(texts[i : i + BATCH])
+                    try:
+                        made = list(correct(own))
+                    except Exception:  # the contract: a batch that fails is left to the confusion map
+                        made = []
+                    done += made if len(made) == len(own) else [None] * len(own)
                 yield pd.Series(done, index=texts.index, dtype="str")
 
-        fixed = run("sentence")
+        fixed = F.coalesce(run("sentence"), corrected(F.col("sentence")))
     rows = sentences.withColumn("corrected", fixed).filter("corrected <> sentence")
     rows = rows.select("*", F.posexplode(word_changes("sentence", "corrected")).alias("at", "c"))
     rows = rows.select(*sentences.columns, "c.original", "c.suggestion", "corrected", "at")
@@ -310,7 +360,3 @@ def decide(rows: DataFrame) -> DataFrame:
         .when(F.col("suggested") == F.col("original"), "reject_no_change")
         .otherwise("accept"),
     )
-
-
-def cased(original: Column, suggestion: Column) -> Column:
-    return match_case(original, suggestion)

@@ -50,10 +50,17 @@ def _where() -> Column:
     return F.concat(F.lit("page "), F.col("page"), paragraph)
 
 
+def semantic_note(o: dict) -> str | None:
+    """Why a search has no passages; None if it has."""
+    encoder = o.get("encoder", semantic.hashed_encoder)
+    return "off" if encoder is None else semantic.unavailable(encoder, o.get("encoder_dim"))
+
+
 def _keyword_search(t: Tables, o: dict) -> DataFrame:
     """A summary of each document, its units with the query, then the passages nearest to it that do not hold it.
 
-    options: query; encoder (makes the encoder; None: no passages), min_score.
+    options: query; encoder (makes the encoder; None: no passages), encoder_dim (what its vectors must have), min_score. An
+    encoder that is unavailable costs the passages only.
     """
     query = o.get("query") or o.get("keyword")
     unit = keyword.units(t["paragraphs"], t["pages"])
@@ -70,7 +77,7 @@ def _keyword_search(t: Tables, o: dict) -> DataFrame:
     message = F.concat(quoted, F.lit(" found "), F.col("occurrences"), F.lit(" time(s) on "), _where())
     two = finding(hits, "keyword_search", 1, F.col("unit_ord"), message, none, details("lexical", F.col("occurrences"), F.array("page"), F.col("snippet"), F.col("paragraph_index")))
     encoder = o.get("encoder", semantic.hashed_encoder)
-    if encoder is None:
+    if semantic_note(o) is not None:
         return one.unionByName(two)
     near = semantic.search(structure.chunks(unit), query, X.keyword_pattern(query), encoder, least=o.get("min_score"))
     message = F.concat(
@@ -205,6 +212,8 @@ def run(tables: Tables, names: list[str] | str, options: dict | None = None) ->
         query = options.get("query") or options.get("keyword")
         if name in NEED_QUERY and query is not None and not isinstance(query, str):
             states.append((name, "failed", "the query must be text"))
+        elif name == "multi_doc_keyword_search" and not (query or "").strip():
+            states.append((name, "failed", "keyword must not be empty"))
         elif name in NEED_QUERY and not (query or "").strip():
             states.append((name, "skipped", "a query is needed"))
         else:

@@ -1,7 +1,7 @@
 """Queries over the driver's tables for each operator, with SQL of their own for DuckDB where SQL can express them.
 
-Queries whose operators need cross references, headings or line geometry run on inline rows, the same in both: the driver's
-tables hold none.
+Where the tables hold no misspellings, cross references, headings or line geometry, they are derived from every row of a
+table by an expression that both engines share; the answers are always computed by the SQL from those rows.
 """
 
 from __future__ import annotations
@@ -35,14 +35,6 @@ def query(sql: str | None = None):
     return add
 
 
-def values(rows: str, columns: str) -> str:
-    return f"(SELECT * FROM (VALUES {rows}) AS v({columns}))"
-
-
-def inline(spark: SparkSession, rows: str, columns: str) -> DataFrame:
-    return spark.sql(values(rows, columns))
-
-
 RUNS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')"
 TOKENS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+')"
 LINES = "SELECT doc_id, i - 1 AS unit_ord, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"
@@ -73,11 +65,6 @@ def conversation_occurrences(spark, sf_dir):
     return keyword.occurrences(unit, "la").drop("keyword", "context")
 
 
-@query()
-def corpus_contexts(spark, sf_dir):
-    return keyword.occurrences(keyword.line_units(table(spark, sf_dir, "documents")), "token")
-
-
 _HIT = r"(?is)^(.*?(?:^|[^\p{L}\p{N}_]))the(?:[^\p{L}\p{N}_]|$)"
 _UNIT_SQL = f"""
 WITH h AS (SELECT doc_id, unit_ord, line, len(list_filter({TOKENS.format("line")}, lambda x: lower(x) = 'the')) AS n,
@@ -127,9 +114,6 @@ def phrase_search(spark, sf_dir):
     return rows.select("doc_id", F.regexp_count("text", F.lit(pattern)).cast("long").alias("occurrences"))
 
 
-_DOCS = values("('a', 1), ('b', 2), ('c', 3)", "doc_id, page_count")
-
-
 @query(
     r"""SELECT doc_id, (i - 1)::INTEGER AS pos, s AS sentence FROM (
   SELECT doc_id, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS s FROM (
@@ -139,14 +123,9 @@ def sentences(spark, sf_dir):
     return structure.sentences(table(spark, sf_dir, "documents"))
 
 
-@query()
-def chunks(spark, sf_dir):
-    return structure.chunks(keyword.line_units(table(spark, sf_dir, "documents")))
-
-
 @query(
     """WITH w AS (SELECT unnest(regexp_extract_all(text, '[^\\s]+')) AS word FROM documents)
-SELECT word, count(*) AS n FROM w WHERE regexp_matches(word, '[a-z][A-Z]|[0-9]|_') OR (word = upper(word) AND word <> lower(word) AND length(word) > 1)
+SELECT word, count(*) AS n FROM w WHERE regexp_matches(word, '[a-z][A-Z]|\\p{Nd}|_') OR (word = upper(word) AND word <> lower(word) AND length(word) > 1)
   OR lower(word) IN ('gnodeb','enodeb','mocn','rsrp','rsrq','sinr','airscale_rnc','nodeb','ranslicing','oss','bts') GROUP BY word"""
 )
 def protected_terms(spark, sf_dir):
@@ -155,140 +134,6 @@ def protected_terms(spark, sf_dir):
     return spell.protected(distinct, spell.terms(spark)).filter("protected").select("word", "n")
 
 
-_HEAD_ROWS = "(1, '3.1 Database errors'), (2, '4 Setup'), (3, 'Introduction'), (4, '2.10.3. Deep one'), (5, '  7  Spaced ')"
-
-
-@query(
-    f"""SELECT id, nullif(regexp_extract(t, '^\\s*((?:\\d+\\.)*\\d+)\\.?\\s+(.*)$', 1), '') AS number,
-  trim(CASE WHEN regexp_matches(t, '^\\s*((?:\\d+\\.)*\\d+)\\.?\\s+(.*)$') THEN regexp_extract(t, '^\\s*((?:\\d+\\.)*\\d+)\\.?\\s+(.*)$', 2) ELSE t END) AS title
-FROM {values(_HEAD_ROWS, "id, t")}"""
-)
-def heading_numbers(spark, sf_dir):
-    return structure.split_heading(inline(spark, _HEAD_ROWS, "id, t"), "t").select("id", "number", "title")
-
-
-_LINES = (
-    "('d', 1, 0, 'First line of text that is full', 72.0, 400.0, 100.0), ('d', 1, 1, 'ends here.', 72.0, 200.0, 112.0), "
-    "('d', 1, 2, 'A new paragraph that is full', 72.0, 400.0, 124.0), ('d', 1, 3, 'far below', 72.0, 398.0, 160.0), "
-    "('d', 1, 4, '- an item', 72.0, 399.0, 172.0), ('d', 1, 5, '2.1 Heading', 72.0, 150.0, 184.0), ('d', 1, 6, 'body after the heading', 72.0, 400.0, 196.0)"
-)
-_LINE_COLUMNS = "doc_id, page, pos, text, \"left\", \"right\", top"
-
-
-def _lines(spark):
-    rows = spark.sql(values(_LINES, "doc_id, page, pos, text, l, r, top")).select("doc_id", "page", "pos", "text", F.col("l").cast("double").alias("left"), F.col("r").cast("double").alias("right"), F.col("top").cast("double"))
-    return rows
-
-
-@query(
-    f"""SELECT doc_id, page, coalesce(median(step) FILTER (step > 0), 0.0)::DOUBLE AS pitch FROM (
-  SELECT doc_id, page, (top - lag(top) OVER (PARTITION BY doc_id, page ORDER BY pos))::DOUBLE AS step FROM {values(_LINES, _LINE_COLUMNS)}) GROUP BY doc_id, page"""
-)
-def line_pitch(spark, sf_dir):
-    return structure.line_pitch(_lines(spark))
-
-
-@query(
-    f"""WITH l AS (SELECT *, lead(text) OVER w AS nxt, lead(top) OVER w - top AS step, max("right") OVER () AS r, min("left") OVER () AS l FROM {values(_LINES, _LINE_COLUMNS)} WINDOW w AS (ORDER BY pos)),
-b AS (SELECT *, coalesce(step > 1.35 * 12 OR step <= 0, false) OR ("right" < r - 0.1 * (r - l) AND regexp_matches(text, '[.!?:;]$'))
-  OR coalesce(regexp_matches(nxt, '^(?:[-–—*•]|\\(?[0-9]{{1,3}}[.)]|\\(?[a-zA-Z][.)])\\s') OR (regexp_matches(nxt, '^\\s*((?:\\d+\\.)*\\d+)\\.?\\s+') AND NOT regexp_matches(nxt, '[.!?:;]$')), false)
-  OR ("right" < r - 0.1 * (r - l) AND regexp_matches(text, '^\\s*((?:\\d+\\.)*\\d+)\\.?\\s+') AND NOT regexp_matches(text, '[.!?:;]$')) AS brk FROM l),
-g AS (SELECT *, coalesce(sum(brk::INT) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM b)
-SELECT doc_id, page, (row_number() OVER (ORDER BY grp) - 1)::INTEGER AS "index", string_agg(text, chr(10) ORDER BY pos) AS text FROM g GROUP BY doc_id, page, grp"""
-)
-def paragraph_split(spark, sf_dir):
-    return structure.split_paragraphs(_lines(spark))
-
-
-_PARAGRAPHS = (
-    "('a', 1, 0, 'Table 1: Sizes of things'), ('a', 1, 1, 'As Table 1 and Table 7 show, see Figure 9.'), ('a', 2, 2, 'Figure 3 - Wiring'), "
-    "('a', 2, 3, 'Table 1: A later caption'), ('a', 2, 4, 'Figure 9 and table 7 again, Table 7 twice.'), ('b', 1, 0, 'Table 5 without any caption here.'), "
-    "('b', 1, 1, 'For more information, see  in the guide.'), ('b', 1, 2, 'What do I see in the summary?'), ('b', 2, 3, 'See Section 4.2 of this. Refer to  for help.'), "
-    "('c', 1, 0, 'See/Refer to support note.')"
-)
-_P = "doc_id, page, \"index\", text"
-
-
-def _paragraphs(spark):
-    return inline(spark, _PARAGRAPHS, "doc_id, page, index, text")
-
-
-_CAPTIONS = f"""SELECT doc_id, kind, number, first(page ORDER BY "index") AS page, first(text ORDER BY "index") AS text FROM (
-  SELECT *, upper(regexp_extract(text, '(?i)^(Table|Figure)', 1)[1]) || lower(regexp_extract(text, '(?i)^(Table|Figure)', 1)[2:]) AS kind,
-    regexp_extract(text, '(?i)^(?:Table|Figure)\\s+(\\d+(?:\\.\\d+)*(?:[.-]\\d+)*)', 1) AS number
-  FROM {values(_PARAGRAPHS, _P)} WHERE regexp_matches(text, '(?i)^(Table|Figure)\\s+\\d')) GROUP BY doc_id, kind, number"""
-
-
-@query(_CAPTIONS)
-def caption_index(spark, sf_dir):
-    return links.captions(_paragraphs(spark))
-
-
-@query(
-    f"""WITH c AS ({_CAPTIONS}), m AS (
-  SELECT doc_id, min(page) AS page, kind, number FROM (
-    SELECT doc_id, page, upper(m[1]) || lower(regexp_extract(m, '^(\\w+)', 1)[2:]) AS kind, regexp_extract(m, '(\\d+(?:\\.\\d+)*)$', 1) AS number
-    FROM (SELECT doc_id, page, unnest(regexp_extract_all(text, '(?i)\\b(?:Figure|Table)\\s+\\d+(?:\\.\\d+)*')) AS m FROM {values(_PARAGRAPHS, _P)}
-      WHERE NOT regexp_matches(text, '(?i)^(Table|Figure)\\s+\\d'))) GROUP BY doc_id, kind, number)
-SELECT doc_id, page, kind, number FROM m WHERE EXISTS (SELECT 1 FROM c WHERE c.doc_id = m.doc_id AND c.kind = m.kind)
-  AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = m.doc_id AND c.kind = m.kind AND c.number = m.number)"""
-)
-def prose_references(spark, sf_dir):
-    p = _paragraphs(spark)
-    return links.prose_references(p, links.captions(p)).select("doc_id", "page", "kind", "number")
-
-
-@query("SELECT 'b' AS doc_id, 1 AS page, 1 AS \"index\", 'see' AS cue, 22 AS start UNION ALL SELECT 'b', 2, 3, 'Refer to', 25")
-def missing_references(spark, sf_dir):
-    return links.missing_references(_paragraphs(spark)).select("doc_id", "page", "index", "cue", "start")
-
-
-_HEADINGS = "('a', 0, 'Troubleshooting', '3', 3), ('a', 1, 'Database errors', '3.1', 4), ('a', 2, 'Also errors', '3.1', 5), ('a', 3, 'Limits', '4.02', 9)"
-_REFS = "('a', 1, 'Section', '3.1'), ('a', 2, 'Section', '3.2'), ('a', 3, 'Clause', '9.9'), ('a', 4, 'Figure', '3'), ('a', 5, 'Appendix', 'A'), ('a', 6, 'Chapter', '4.2')"
-
-
-@query(
-    f"""WITH h AS (SELECT *, list_transform(string_split(number, '.'), lambda x: x::BIGINT) AS p FROM {values(_HEADINGS, "doc_id, ord, text, number, page")}),
-r AS (SELECT *, CASE WHEN kind IN ('Section','Clause','Chapter','Appendix') AND regexp_full_match(number, '[0-9.]+') THEN list_transform(string_split(number, '.'), lambda x: try_cast(x AS BIGINT)) END AS p
-  FROM {values(_REFS, "doc_id, ref, kind, number")}),
-j AS (SELECT r.doc_id, r.ref, h.text, h.number AS hn, h.page, CASE WHEN r.p = h.p THEN 0 ELSE 1 END AS rank, h.ord FROM r JOIN h ON r.doc_id = h.doc_id AND (r.p = h.p
-  OR (len(r.p) = len(h.p) AND r.p[1:len(r.p) - 1] = h.p[1:len(h.p) - 1] AND abs(r.p[len(r.p)] - h.p[len(h.p)]) = 1))),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ref ORDER BY rank, ord) AS n FROM j)
-SELECT r.doc_id, r.ref, r.kind, r.number, b.text AS suggested_heading, b.hn AS suggested_heading_number, b.page AS suggested_page,
-  CASE b.rank WHEN 0 THEN 0.95 WHEN 1 THEN 0.72 END::DOUBLE AS confidence FROM r LEFT JOIN b ON r.ref = b.ref AND b.n = 1"""
-)
-def suggest_heading(spark, sf_dir):
-    refs, heads = inline(spark, _REFS, "doc_id, ref, kind, number"), inline(spark, _HEADINGS, "doc_id, ord, text, number, page")
-    return links.suggest_headings(refs, heads).withColumn("confidence", F.col("confidence").cast("double"))
-
-
-_LINKS = (
-    "('a', 0, 1, 'See Section 3.1', 99, 's31', true), ('a', 1, 1, 'here', CAST(NULL AS INT), 'Section_4.2', true), ('b', 2, 1, 'More on wir', CAST(NULL AS INT), 'x9', true), "
-    "('b', 3, 2, 'ok', 2, 'z', true), ('b', 4, 2, 'outside', 77, 'w', false), ('c', 5, 1, 'zero', 0, 'v', true)"
-)
-_L = "doc_id, ord, page, text, target_page, target_name, is_internal"
-
-
-@query(
-    f"""SELECT l.*, CASE WHEN target_page < 1 OR target_page > page_count THEN 'target page out of range' ELSE 'named destination not found' END AS reason
-FROM {values(_LINKS, _L)} l JOIN {_DOCS} d USING (doc_id)
-WHERE is_internal AND (target_page < 1 OR target_page > page_count OR (target_page IS NULL AND target_name IS NOT NULL))"""
-)
-def link_reasons(spark, sf_dir):
-    return links.broken_links(inline(spark, _LINKS, _L), spark.sql(_DOCS))
-
-
-_CITED = "('b', 1, 0, 'More on wiring in Section 2.2 below'), ('b', 1, 1, 'More on wiring in Clause 7'), ('b', 2, 2, 'ok Section 1')"
-
-
-@query(
-    f"""SELECT l.*, CASE ord WHEN 0 THEN 'See Section 3.1' WHEN 1 THEN 'Section 4.2' WHEN 2 THEN 'More on wiring in Section 2.2 below' WHEN 3 THEN 'ok Section 1' WHEN 4 THEN 'outside' ELSE 'zero' END AS evidence_text,
-  CASE ord WHEN 0 THEN 'link_text' WHEN 1 THEN 'target_name' WHEN 2 THEN 'paragraph' WHEN 3 THEN 'paragraph' ELSE 'raw' END AS evidence_source FROM {values(_LINKS, _L)} l"""
-)
-def evidence_cascade(spark, sf_dir):
-    return links.evidence(inline(spark, _LINKS, _L), inline(spark, _CITED, "doc_id, page, index, text"))
-
-
 @query(
     """WITH t AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 l AS (SELECT page_id, unnest(range(0, len(h))) AS ord, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages))
@@ -298,55 +143,6 @@ def page_links(spark, sf_dir):
     return sources.dangling_links(table(spark, sf_dir, "pages"))
 
 
-_SPELL = (
-    "('a', 0, 'The parameter was retrieved form the OSS database.'), ('a', 1, 'Fill in the form and seperate teh parts.'), ('b', 0, 'Recieve the gNodeB paramter, differ form it.'), ('b', 1, 'A form was here.')"
-)
-
-
-@query(
-    """SELECT * FROM (VALUES ('a', 0, 4, 'form', 'from'), ('a', 1, 5, 'seperate', 'separate'), ('b', 0, 0, 'Recieve', 'receive'), ('b', 0, 3, 'paramter', 'parameter'), ('b', 0, 5, 'form', 'from'))
-AS v(doc_id, pos, word_index, word, suggestion)"""
-)
-def confusion_findings(spark, sf_dir):
-    return spell.confusions(inline(spark, _SPELL, "doc_id, pos, sentence"), spell.terms(spark))
-
-
-_MERGE = "('a', 0, 's', 'Teh', 'the', 't5', 0), ('a', 0, 's', 'teh', 'then', 'dictionary', 1), ('a', 0, 's', 'form', 'from', 't5', 0), ('b', 3, 'x', 'batery', 'battery', 'dictionary', 1)"
-_M = "doc_id, paragraph_index, sentence, word, suggestion, method, prio"
-
-
-@query(
-    f"""SELECT doc_id, paragraph_index, sentence, lower(word) AS word, first(suggestion ORDER BY prio) AS suggestion,
-  CASE WHEN count(*) > 1 THEN 'both' ELSE first(method) END AS method FROM {values(_MERGE, _M)} GROUP BY doc_id, paragraph_index, sentence, lower(word)"""
-)
-def spell_merge(spark, sf_dir):
-    return spell.merge_findings(inline(spark, _MERGE, _M))
-
-
-_PAIRS = "('form', 'from'), ('cat', 'dog'), ('teh', 'the'), ('recieve', 'receive'), ('ab', 'abc'), ('House', 'mouse'), ('abcd', 'badc')"
-
-
-@query(
-    f"""SELECT a, b, levenshtein(lower(a), lower(b)) <= CASE WHEN length(a) <= 3 THEN 1 ELSE 2 END AS likely,
-  length(a) = length(b) AND levenshtein(lower(a), lower(b)) = 2 AND damerau_levenshtein(lower(a), lower(b)) = 1 AS transposed FROM {values(_PAIRS, "a, b")}"""
-)
-def edit_rules(spark, sf_dir):
-    rows = inline(spark, _PAIRS, "a, b")
-    return rows.select("a", "b", spell.likely(F.col("a"), F.col("b")).alias("likely"), F.coalesce(spell.transposed(F.col("a"), F.col("b")), F.lit(False)).alias("transposed"))
-
-
-_VOCAB = "('receive', 5.0), ('their', 6.0), ('separate', 4.5), ('battery', 4.6), ('length', 4.4), ('cable', 4.0), ('there', 5.9), ('network', 5.0), ('lengthy', 3.1)"
-_WORDS = "('recieve'), ('thier'), ('seperate'), ('batery'), ('lenght'), ('cabled'), ('network'), ('zzzzqq')"
-
-
-@query(
-    """SELECT * FROM (VALUES ('recieve', 'receive'), ('thier', 'their'), ('seperate', 'separate'), ('batery', 'battery'), ('lenght', 'length')) AS v(word, suggestion)"""
-)
-def dictionary_suggest(spark, sf_dir):
-    vocab = inline(spark, _VOCAB, "word, zipf").withColumn("zipf", F.col("zipf").cast("double"))
-    return spell.suggest(inline(spark, _WORDS, "word"), vocab)
-
-
 @query(
     """SELECT word, log10(count(*) / sum(count(*)) OVER ()) + 9 AS zipf FROM (
   SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents) GROUP BY word"""
@@ -386,27 +182,6 @@ def truncate_per_document(spark, sf_dir):
     return findings.per_document(table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id")), 30)
 
 
-_PATHS = "('x/a.pdf'), ('y/a.pdf'), ('y/b.docx'), ('c.pdf')"
-
-
-@query(
-    f"""SELECT path, CASE WHEN count(*) OVER (PARTITION BY regexp_extract(path, '([^/]*)$', 1)) = 1 THEN regexp_extract(path, '([^/]*)$', 1) ELSE path END AS name FROM {values(_PATHS, "path")}"""
-)
-def display_names(spark, sf_dir):
-    return keyword.display_names(inline(spark, _PATHS, "path"))
-
-
-_TARGETS = "('a.pdf', 'file'), ('dir//b.DOCX', 'file'), ('gone.pdf', 'none'), ('x.txt', 'file'), ('  ', 'none'), ('folder/', 'folder')"
-
-
-@query(
-    """SELECT * FROM (VALUES ('a.pdf', 'a.pdf', NULL), ('dir//b.DOCX', 'dir/b.DOCX', NULL), ('gone.pdf', NULL, 'no such file or folder'), ('x.txt', NULL, 'unsupported file type (expected .pdf or .docx)'),
-  ('  ', NULL, 'not a usable path'), ('folder/', 'folder', NULL)) AS v(target, path, reason)"""
-)
-def discovery(spark, sf_dir):
-    return sources.discover(inline(spark, _TARGETS, "target, kind"))
-
-
 @query(
     """SELECT conv_id AS doc_id, count(*) AS page_count, count(*) FILTER (length(trim(text)) < 100 AND turn % 2 = 0) AS scanned_pages,
   2 * count(*) FILTER (length(trim(text)) < 100 AND turn % 2 = 0) > count(*) AS looks_scanned FROM conversations GROUP BY conv_id"""
@@ -416,22 +191,6 @@ def scanned_documents(spark, sf_dir):
     return keyword.scanned(rows)
 
 
-_REQUESTS = (
-    "(1, 'check the broken links'), (2, 'find typos in this'), (3, 'where is \"access control\" mentioned'), (4, 'search every document for MOCN'), (5, ' '), "
-    "(6, 'run all checks'), (7, 'check the links and the spelling'), (8, 'authentication failures')"
-)
-
-
-@query(
-    """SELECT * FROM (VALUES (1, ['broken_links'], 'broken links'), (2, ['spell_check'], 'typos'), (3, ['keyword_search'], 'access control'), (4, ['multi_doc_keyword_search'], 'MOCN'),
-  (5, ['broken_links', 'keyword_search', 'spell_check'], ' '), (6, ['broken_links', 'keyword_search', 'spell_check'], 'run checks'), (7, ['broken_links', 'spell_check'], 'links spelling'),
-  (8, ['keyword_search'], 'authentication failures')) AS v(id, features, keywords)"""
-)
-def router_requests(spark, sf_dir):
-    rows = inline(spark, _REQUESTS, "id, request")
-    return rows.select("id", router.features(F.col("request")).alias("features"), router.keywords(F.col("request")).alias("keywords"))
-
-
 _FINDINGS = (
     "SELECT source AS document, 1 AS page, CASE WHEN doc_id % 3 = 0 THEN 'broken_links' WHEN doc_id % 3 = 1 THEN 'spell_check' ELSE 'keyword_search' END AS feature, "
     "'finding ' || lang AS message, 's' || doc_id AS suggestion, doc_id AS ord FROM documents"
@@ -467,25 +226,6 @@ def summary_sheet(spark, sf_dir):
     return findings.summary(results, rows)
 
 
-_SLUGS = "('authentication'), ('access control'), ('ERR#01'), ('../etc'), ('###')"
-
-
-@query("SELECT * FROM (VALUES ('authentication', 'authentication'), ('access control', 'access_control'), ('ERR#01', 'err_01'), ('../etc', 'etc'), ('###', 'search')) AS v(keyword, slug)")
-def report_slugs(spark, sf_dir):
-    return inline(spark, _SLUGS, "keyword").select("keyword", X.slug(F.col("keyword")).alias("slug"))
-
-
-_SHEETS = "(1, 'keyword_search'), (2, 'keyword_search'), (3, 'a_feature_with_a_very_long_name_one'), (4, 'a_feature_with_a_very_long_name_two'), (5, 'keyword_search')"
-
-
-@query(
-    f"""SELECT ord, CASE WHEN n = 1 THEN base ELSE feature[1:28] || '~' || n END AS title
-FROM (SELECT *, feature[1:31] AS base, row_number() OVER (PARTITION BY feature[1:31] ORDER BY ord) AS n FROM {values(_SHEETS, "ord, feature")})"""
-)
-def sheet_titles(spark, sf_dir):
-    return findings.sheet_titles(inline(spark, _SHEETS, "ord, feature"))
-
-
 @query(
     f"""SELECT ord, id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id
 FROM (SELECT ord, document, row_number() OVER (ORDER BY document NULLS FIRST, ord) AS id FROM ({_FINDINGS})) WINDOW w AS (ORDER BY id)"""
@@ -499,52 +239,6 @@ def group_headers(spark, sf_dir):
     return findings.group_headers(_findings(spark, sf_dir)).select("document", "ord", "new_document")
 
 
-_NAMED = "('a', 1, 's31'), ('a', 2, 'gone'), ('b', 3, 's31'), ('b', 4, CAST(NULL AS STRING))"
-_DESTS = "('a', 's31', 4), ('a', 's31', 6), ('a', 'gone', -1), ('b', 'x', 2)"
-
-
-@query(
-    f"""SELECT l.doc_id, l.ord, l.target_name, (SELECT min(page) FROM {values(_DESTS, "doc_id, name, page")} d WHERE d.doc_id = l.doc_id AND d.name = l.target_name AND page >= 0) AS target_page
-FROM {values(_NAMED, "doc_id, ord, target_name")} l"""
-)
-def named_destinations(spark, sf_dir):
-    return links.resolve_names(inline(spark, _NAMED, "doc_id, ord, target_name"), inline(spark, _DESTS, "doc_id, name, page"))
-
-
-_CAPTION_REFS = "('a', 1, 'Table', '1'), ('a', 2, 'Figure', '3'), ('a', 3, 'Figure', '9'), ('b', 4, 'Table', '1')"
-
-
-@query(
-    f"""SELECT r.*, c.page AS caption_page, c.text AS caption, CASE WHEN c.text IS NOT NULL THEN 0.95 END::DOUBLE AS caption_confidence
-FROM {values(_CAPTION_REFS, "doc_id, ref, kind, number")} r LEFT JOIN ({_CAPTIONS}) c USING (doc_id, kind, number)"""
-)
-def suggest_caption(spark, sf_dir):
-    refs = inline(spark, _CAPTION_REFS, "doc_id, ref, kind, number")
-    return links.suggest_captions(refs, links.captions(_paragraphs(spark))).withColumn("caption_confidence", F.col("caption_confidence").cast("double"))
-
-
-_VECTORS = "(1, array(1.0D, 0.0D)), (2, array(0.6D, 0.8D)), (3, array(-1.0D, -1.0D)), (4, array(1.0D, 1.0D))"
-_VECTORS_SQL = "(VALUES (1, 1.0, 0.0), (2, 0.6, 0.8), (3, -1.0, -1.0), (4, 1.0, 1.0)) AS v(id, x, y)"
-
-
-@query(
-    f"""SELECT id, CASE WHEN greatest(a, b) < 0.55 THEN NULL WHEN a >= b THEN 'broken_links' ELSE 'spell_check' END AS feature, round(greatest(a, b), 6) AS score
-FROM (SELECT id, x / sqrt(x * x + y * y) AS a, y / sqrt(x * x + y * y) AS b FROM {_VECTORS_SQL})"""
-)
-def nearest_feature(spark, sf_dir):
-    found = router.nearest(inline(spark, _VECTORS, "id, vector"), {"broken_links": [1.0, 0.0], "spell_check": [0.0, 1.0]})
-    return found.withColumn("score", F.round("score", 6))
-
-
-_LABELLED = "(1, 'check the broken links', 'broken_links'), (2, 'find typos in this', 'spell_check'), (3, 'authentication failures', 'keyword_search'), (4, 'search every document for MOCN', 'spell_check')"
-
-
-@query("SELECT 0.75::DOUBLE AS accuracy")
-def routing_accuracy(spark, sf_dir):
-    rows = inline(spark, _LABELLED, "id, request, expected")
-    return router.accuracy(rows.withColumn("features", router.features(F.col("request"))))
-
-
 @query("SELECT doc_id, sha256(coalesce(text, '') || chr(0)) AS digest FROM documents")
 def text_digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", semantic.text_key(F.array(F.coalesce("text", F.lit("")))).alias("digest"))
@@ -557,86 +251,6 @@ def displayed_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.display(F.col("text")).alias("shown"))
 
 
-_STEMS = "('cables'), ('class'), ('planned'), ('routing'), ('walker'), ('slowly'), ('red'), ('settings')"
-
-
-@query(
-    f"""SELECT word, list_filter([CASE WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN word[:-2] END, CASE WHEN word LIKE '%ed' THEN word[:-2] END, CASE WHEN word LIKE '%ing' THEN word[:-4] || 'e' END], lambda x: x IS NOT NULL) AS regular
-FROM {values(_STEMS, "word")}"""
-)
-def regular_stems(spark, sf_dir):
-    return inline(spark, _STEMS, "word").select("word", spell.stems(F.col("word"))[0].alias("regular"))
-
-
-_SWAPS = "('network', 'networks'), ('battery', 'batteyr'), ('routed', 'router'), ('cat', 'car'), ('planning', 'planned')"
-
-
-@query("SELECT * FROM (VALUES ('network', 'networks', true), ('battery', 'batteyr', false), ('routed', 'router', true), ('cat', 'car', false), ('planning', 'planned', false)) AS v(a, b, swap)")
-def suffix_swaps(spark, sf_dir):
-    return inline(spark, _SWAPS, "a, b").select("a", "b", spell.suffix_swap(F.col("a"), F.col("b")).alias("swap"))
-
-
-_CHANGES = "('form', 'from'), ('there', 'their'), ('teh', 'the'), ('cable', 'table')"
-_COMMON = "('form', 5.0), ('from', 6.0), ('there', 6.0), ('their', 6.0), ('the', 7.0), ('cable', 3.0), ('table', 5.0)"
-
-
-@query(
-    f"""SELECT original, suggestion FROM {values(_CHANGES, "original, suggestion")} LEFT JOIN {values(_COMMON, "wa, za")} ON wa = original LEFT JOIN {values(_COMMON, "wb, zb")} x(wb, zb) ON wb = suggestion
-WHERE NOT (coalesce(za, 0) >= 4 AND coalesce(zb, 0) >= 4) OR (length(original) = length(suggestion) AND levenshtein(original, suggestion) = 2 AND damerau_levenshtein(original, suggestion) = 1)"""
-)
-def verified_changes(spark, sf_dir):
-    vocab = inline(spark, _COMMON, "word, zipf").withColumn("zipf", F.col("zipf").cast("double"))
-    return spell.verified(inline(spark, _CHANGES, "original, suggestion"), vocab)
-
-
-_CANDIDATES = "(1, 'gNodeB', 'gnome', true, true), (2, 'teh', 'zzz', false, false), (3, 'the', 'the', false, true), (4, 'teh', 'the', false, true)"
-_CANDIDATE = "id, original, suggested, is_protected, is_valid"
-
-
-@query(
-    f"""SELECT *, CASE WHEN is_protected THEN 'reject_protected_term' WHEN NOT is_valid THEN 'reject_invalid_candidate' WHEN original = suggested THEN 'reject_no_change' ELSE 'accept' END AS decision
-FROM {values(_CANDIDATES, _CANDIDATE)}"""
-)
-def correction_decisions(spark, sf_dir):
-    return spell.decide(inline(spark, _CANDIDATES, _CANDIDATE))
-
-
-_CASES = "('TEH', 'the'), ('Teh', 'the'), ('teh', 'the'), ('A', 'an')"
-
-
-@query("SELECT * FROM (VALUES ('TEH', 'the', 'THE'), ('Teh', 'the', 'The'), ('teh', 'the', 'the'), ('A', 'an', 'An')) AS v(original, suggestion, cased)")
-def matched_case(spark, sf_dir):
-    return inline(spark, _CASES, "original, suggestion").select("original", "suggestion", X.match_case(F.col("original"), F.col("suggestion")).alias("cased"))
-
-
-_REPLACED = "('the cats and the cat', 'cat', 'dog'), ('Cat only', 'cat', 'dog'), ('teh end teh', 'teh', 'the')"
-
-
-@query(f"SELECT t, w, n, regexp_replace(t, '\\b' || w || '\\b', n) AS made FROM {values(_REPLACED, 't, w, n')}")
-def replaced_words(spark, sf_dir):
-    return inline(spark, _REPLACED, "t, w, n").select("t", "w", "n", X.replace_word(F.col("t"), F.col("w"), F.col("n")).alias("made"))
-
-
-_EDITED = "(1, 'I recieve teh parts', 'I receive the parts'), (2, 'one two', 'one and two'), (3, 'Form here', 'From here')"
-
-
-@query("SELECT * FROM (VALUES (1, 'recieve', 'receive'), (1, 'teh', 'the'), (3, 'Form', 'From')) AS v(id, original, suggestion)")
-def word_level_changes(spark, sf_dir):
-    rows = inline(spark, _EDITED, "id, a, b").select("id", F.explode(spell.word_changes("a", "b")).alias("c"))
-    return rows.select("id", "c.original", "c.suggestion")
-
-
-_OWN_PAGES = "('a', 1, 'a page'), ('d', 1, 'first page'), ('d', 2, 'second page')"
-
-
-@query(
-    f"""SELECT doc_id, "index" AS unit_ord, page, "index" AS paragraph_index, text FROM {values(_PARAGRAPHS, _P)}
-UNION ALL SELECT doc_id, number, number, NULL, text FROM {values(_OWN_PAGES, "doc_id, number, text")} WHERE doc_id NOT IN (SELECT doc_id FROM {values(_PARAGRAPHS, _P)})"""
-)
-def document_units(spark, sf_dir):
-    return keyword.units(_paragraphs(spark), inline(spark, _OWN_PAGES, "doc_id, number, text"))
-
-
 def _tables(spark, units: DataFrame) -> engine.Tables:
     """Units as the paragraphs, or where they have no number as the pages, of documents."""
     own = units.filter("paragraph_index IS NOT NULL").select("doc_id", "page", F.col("paragraph_index").alias("index"), "text")
@@ -663,31 +277,7 @@ def corpus_feature(spark, sf_dir):
     return found.select("doc_id", "ord", "page", "message")
 
 
-@query(
-    """SELECT * FROM (VALUES ('a', 0, 1, 'Broken Section reference ''See Section 3.1'' (target page out of range)', 0.95::DOUBLE), ('a', 0, 1, 'Broken Section reference ''Section 4.2'' (named destination not found)', 0.95),
-  ('b', 0, 1, 'Broken internal reference ''More on wir'' (named destination not found)', NULL), ('c', 0, 1, 'Broken internal reference ''zero'' (target page out of range)', NULL),
-  ('a', 1, 1, 'Reference to Table 7 but the document has no Table 7', NULL), ('b', 2, 1, 'Cross-reference after ''see'' is missing its text: ''ormation, see in the guide.''', NULL),
-  ('b', 2, 2, 'Cross-reference after ''Refer to'' is missing its text: ''of this. Refer to for help.''', NULL)) AS v(doc_id, part, page, message, confidence)"""
-)
-def broken_links_feature(spark, sf_dir):
-    headings = inline(spark, _HEADINGS, "doc_id, ord, text, number, page")
-    tables = {"paragraphs": _paragraphs(spark), "links": inline(spark, _LINKS, _L), "headings": headings, "documents": spark.sql(_DOCS)}
-    found, _ = engine.run(tables, "broken_links")
-    return found.select("doc_id", "part", "page", "message", "confidence")
-
-
 _BOTH = "('a', 1, 0, 'The value was read form the OSS. Teh batery is flat.'), ('a', 1, 1, 'Their lenght and gNodeB batery.'), ('b', 2, 0, 'TEH network form.')"
 
 
-@query(
-    """SELECT * FROM (VALUES ('a', 1, 'Possible spelling error: ''batery'' -> ''battery''', 'dictionary_spelling', 'dictionary', 'Teh battery is flat.'),
-  ('a', 1, 'Possible spelling error: ''form'' -> ''from''', 'contextual_spelling', 't5', 'The value was read from the OSS.'),
-  ('a', 1, 'Possible spelling error: ''batery'' -> ''battery''', 'dictionary_spelling', 'dictionary', 'Their lenght and gNodeB battery.'),
-  ('a', 1, 'Possible spelling error: ''lenght'' -> ''length''', 'dictionary_spelling', 'dictionary', 'Their length and gNodeB batery.')) AS v(doc_id, page, message, issue_type, method, corrected_sentence)"""
-)
-def spell_feature(spark, sf_dir):
-    vocab = inline(spark, _VOCAB, "word, zipf").withColumn("zipf", F.col("zipf").cast("double"))
-    tables = {"paragraphs": inline(spark, _BOTH, "doc_id, page, index, text")}
-    found, _ = engine.run(tables, "spell_check", {"spell_mode": "both", "vocabulary": vocab})
-    d = lambda k: F.get_json_object("details", f"$.{k}").alias(k)
-    return found.select("doc_id", "page", "message", d("issue_type"), d("method"), d("corrected_sentence"))
+from folio import queries_derived  # noqa: E402,F401  its queries join those above

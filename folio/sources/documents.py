@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators.structure import split_heading, split_paragraphs
@@ -113,15 +113,67 @@ def tables(parsed: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def normal_path(path: Column) -> Column:
+    """Without repeated slashes, `.` parts, and parts that a `..` takes back."""
+    absolute = path.startswith("/")
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+
+    def step(done, x):
+        back = (x == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+        lost = (x == "..") & (F.size(done) == 0) & absolute
+        return F.when(back, F.slice(done, F.lit(1), F.size(done) - 1)).when(lost, done).otherwise(F.concat(done, F.array(x)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    joined = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(kept, "/"))
+    return F.when(joined == "", ".").otherwise(joined)
+
+
+SUPPORTED = r"\.(pdf|docx)$"
+
+
+def walk(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of every file below a folder; the listing is Spark's, no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
+
+
 def discover(targets: DataFrame) -> DataFrame:
     """Targets (target, kind: file, folder or none) as (target, path, reason): usable ones with a path, others with why not."""
-    path = F.regexp_replace(F.regexp_replace("target", r"/+(\./+)*", "/"), r"/$", "")
     reason = (
         F.when(F.col("target").isNull() | (F.trim("target") == ""), "not a usable path")
         .when(F.col("kind") == "none", "no such file or folder")
-        .when((F.col("kind") == "file") & ~F.lower("target").rlike(r"\.(pdf|docx)$"), "unsupported file type (expected .pdf or .docx)")
+        .when((F.col("kind") == "file") & ~F.lower("target").rlike(SUPPORTED), "unsupported file type (expected .pdf or .docx)")
     )
-    return targets.select("target", F.when(reason.isNull(), path).alias("path"), reason.alias("reason"))
+    return targets.select("target", F.when(reason.isNull(), normal_path(F.col("target"))).alias("path"), reason.alias("reason"))
+
+
+def documents_of(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """The distinct, sorted (path) of documents that targets (target, kind) name or hold. files: (path), as walk gives.
+
+    A folder gives the supported files below it; a file reached twice counts once.
+    """
+    usable = discover(targets).filter("path IS NOT NULL").join(targets.select("target", "kind").distinct(), "target")
+    named = usable.filter("kind = 'file'").select("path")
+    own = files.select(normal_path(F.col("path")).alias("path")).filter(F.lower("path").rlike(SUPPORTED))
+    # A file lies in each of the folders above it; so the join is on equal folders.
+    at = F.filter(F.sequence(F.lit(1), F.length("path")), lambda i: F.substring("path", i, F.lit(1)) == "/")
+    above = F.transform(at, lambda i: F.when(i == 1, F.lit("/")).otherwise(F.substring("path", F.lit(1), i - 1)))
+    inside = own.withColumn("folder", F.explode(F.concat(above, F.when(~F.col("path").startswith("/"), F.array(F.lit("."))).otherwise(F.array().cast("array<string>")))))
+    inside = inside.join(usable.filter("kind = 'folder'").select(F.col("path").alias("folder")).distinct(), "folder", "left_semi").select("path")
+    return named.union(inside).distinct().orderBy("path")
+
+
+def collect_files(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """As documents_of, but a file that is named is taken whatever its type."""
+    folders = documents_of(targets.filter("kind = 'folder'"), files)
+    named = targets.filter("kind = 'file'").select(F.col("target").alias("path"))
+    return named.union(folders).distinct().orderBy("path")
+
+
+def uploads(found: DataFrame, names: DataFrame) -> DataFrame:
+    """Findings (doc_id, ...) with the `document_name` under which their file was handed in. names: (path, name)."""
+    given = names.select(F.col("path").alias("doc_id"), F.col("name").alias("document_name"))
+    return found.join(given, "doc_id", "left").withColumn("document_name", F.coalesce("document_name", "doc_id"))
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,10 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+#: Characters that a cell of a workbook can hold.
+CELL = 32_767
+
+
 def read_docx(data: bytes) -> dict:
     """paragraphs [(index, text)] without blank ones (indexes count them) and headings [(ord, text, level)]."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -104,7 +108,10 @@ def write_xlsx(sheets: list[dict]) -> bytes:
                         cells.append(f'<c r="{ref}"{style}><v>{v}</v></c>')
                     else:
                         v = ", ".join(map(str, v)) if isinstance(v, list) else str(v)
-                        v = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", v)[:32767]
+                        v = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", v)
+                        if len(v) > CELL:  # what a cell cannot hold is said in it
+                            note = f"… [{len(v) - CELL + 40} more characters]"
+                            v = v[: CELL - len(note)] + note
                         cells.append(f'<c r="{ref}"{style} t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>')
                 rows.append(f'<row r="{r + 1}">{"".join(cells)}</row>')
             widths = "".join(f'<col min="{i + 1}" max="{i + 1}" width="{w}" customWidth="1"/>' for i, w in enumerate(s.get("widths", ())))

@@ -7,7 +7,7 @@ import pytest
 
 from folio import queries
 from folio.functions import text as X
-from folio.operators import keyword, links, semantic, spell, structure
+from folio.operators import keyword, links, router, semantic, spell, structure
 from folio.plans import engine
 from folio.sources import documents, office, reports
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ def test_query_matches_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in "documents embeddings pages benchmark conversations".split():
+    for t in "documents embeddings pages benchmark conversations orders".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
@@ -62,6 +62,102 @@ def test_matches_are_those_of_finditer(spark):
     assert [(x.start, x.text) for x in found] == [(m.start(), m[0]) for m in re.finditer(r"(?i)(?<!\w)the(?!\w)", t)]
 
 
+def test_pieces_are_cut_before_the_limit():
+    text = "a" * 300 + " " + "b" * 99 + " " + "c" * 50
+    assert [c for _, c in structure.chunk_text(text)] == ["a" * 300, "b" * 99 + " " + "c" * 50]
+    assert structure.chunk_text(" " * 900 + "x") == [(800, " " * 100 + "x")] and structure.chunk_text(" " * 900) == []
+
+
+def test_case_and_corrections(spark):
+    rows = spark.createDataFrame([("A", "an"), ("TEH", "the"), ("Teh", "the"), ("teh", "the")], "a string, b string")
+    assert [r[0] for r in rows.select(X.match_case(F.col("a"), F.col("b"))).collect()] == ["AN", "THE", "The", "the"]
+    texts = ["teh cat and teh dog", "read, form it", "a form; form the base", "Recieve GNODEB٣"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(spell.corrected(F.col("t"))).collect()]
+    assert got == ["the cat and the dog", "read, from it", "a from; form the base", "receive GNODEB٣"]
+
+
+def test_models_that_fail(spark):
+    p = spark.createDataFrame([("d", 1, 0, "Taken form there. An apple."), ("d", 1, 1, "Pears")], "doc_id string, page int, index int, text string")
+    t = {"paragraphs": p, "pages": spark.createDataFrame([], "doc_id string, number int, text string")}
+
+    def broken():
+        raise OSError("no weights")
+
+    def fails():
+        def f(texts):
+            if len(texts) == 1 and texts[0].startswith("Represent"):
+                return [[1.0, 0.0]]
+            raise ValueError("a bad passage")
+
+        return f
+
+    found, states = engine.run(t, "keyword_search", {"query": "apple", "encoder": broken})
+    assert states == [("keyword_search", "ok", None)] and {r.part for r in found.collect()} == {0, 1}
+    assert engine.semantic_note({"encoder": broken}) == "unavailable: semantic search failed (no weights)"
+    assert engine.semantic_note({"encoder": fails, "encoder_dim": 768}) == "unavailable: expected 768-dim embeddings, got 2"
+    assert engine.semantic_note({"encoder": None}) == "off" and engine.semantic_note({}) is None
+    assert {r.part for r in engine.run(t, "keyword_search", {"query": "apple", "encoder": fails})[0].collect()} == {0, 1}
+    vocab = spark.createDataFrame([("from", 6.0)], "word string, zipf double")
+    rows = engine.run(t, "spell_check", {"corrector": lambda: lambda texts: 1 / 0, "vocabulary": vocab})[0].collect()
+    assert {json.loads(r.details)["word"] for r in rows} == {"form"}
+    seen = spell.prompted(lambda: lambda prompts, max_length: [f"{max_length}:{x}" for x in prompts])()
+    assert seen(["x"]) == [f"128:{spell.INSTRUCTION}x"]
+    assert engine.run(t, "multi_doc_keyword_search", {"keyword": " "})[1] == [("multi_doc_keyword_search", "failed", "keyword must not be empty")]
+
+
+def test_routing_by_meaning(spark):
+    rows = spark.createDataFrame([(1, "dead ends"), (2, "odd one"), (3, "dead ends and search the folder for SIM"), (4, None), (5, "run all checks")], "id int, request string")
+    axes = {"broken_links": "dead", "spell_check": "letters"}
+    encoder = lambda: lambda texts: [[float("dead" in x), float("letters" in x), 1e-3] for x in texts]
+    got = {r.id: r for r in router.route(rows, encoder, axes).collect()}
+    assert (got[1].features, got[1].method, got[1].confidence, got[1].reason) == (["broken_links"], "semantic", 1.0, "closest match to the broken_links description (1.00)")
+    assert (got[2].features, got[2].query, got[2].method) == (["keyword_search"], "odd one", "rules")
+    assert (got[3].features, got[3].query, got[3].method) == (["broken_links", "multi_doc_keyword_search"], "SIM", "rules+semantic")
+    assert got[4].features == got[5].features == router.STANDARD and got[4].reason.startswith("empty")
+    assert [r.method for r in router.route(rows.filter("id = 1"), lambda: 1 / 0).collect()] == ["rules"]
+
+
+def test_reports(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reports, "SHEET_ROWS", 4)
+    rows = [("d", 1 + i // 5, "k", "k", "c" * 40_000 if i == 0 else f"context {i}", i + 1) for i in range(10)]
+    found = spark.createDataFrame(rows, "document string, page int, keyword string, match_text string, context string, occurrence_index long")
+    reports.write_keyword_report(found, f"{tmp_path}/k.xlsx")
+    import zipfile
+
+    names = zipfile.ZipFile(f"{tmp_path}/k.xlsx").namelist()
+    assert sum("worksheets" in n and n.endswith(".xml") for n in names) == 3
+    first = office.read_xlsx(open(f"{tmp_path}/k.xlsx", "rb").read())[1][4]
+    assert len(first) <= 32_767 and first.endswith("more characters]")
+    lines = [r.line for r in reports.printed_matches(found.filter("occurrence_index > 1")).orderBy("document", "ord").collect()]
+    assert lines[:3] == ["d  (9 matches)", "  Page 1", "    context 1"] and lines.count("  Page 2") == 1
+    assert [reports.report_path("x", n, c, s) for n, c, s in ((1, None, False), (2, None, False), (1, "a.xlsx", False), (5, "a.xlsx", True))] == [None, "keyword_matches_x.xlsx", "a.xlsx", None]
+    t = {"paragraphs": spark.createDataFrame([("d", 1, 0, "Read form the OSS.")], "doc_id string, page int, index int, text string")}
+    made, _ = engine.run(t, "spell_check", {"vocabulary": spark.createDataFrame([("from", 6.0)], "word string, zipf double")})
+    assert office.read_xlsx(open(reports.write_overview(made, f"{tmp_path}/o.xlsx"), "rb").read())[1] == ["Total", "1"]
+    assert json.loads(reports.payload(made, ["message"]).first().json)["total"] == 1
+    for run in "ab":
+        reports.append_history(spark.createDataFrame([(run, 1)], "name string, n int"), f"{tmp_path}/h", run)
+    reports.delete_history(spark, f"{tmp_path}/h", "a")
+    assert [r.name for r in reports.read_history(spark, f"{tmp_path}/h").collect()] == ["b"]
+    reports.delete_history(spark, f"{tmp_path}/h")
+    assert not (tmp_path / "h").exists()
+
+
+def test_folders(spark, tmp_path):
+    for n in ("a.docx", "sub/b.PDF", "sub/c.txt"):
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_bytes(b"x")
+    files = documents.walk(spark, str(tmp_path))
+    targets = spark.createDataFrame([(f"{tmp_path}/", "folder"), (f"{tmp_path}/sub/../a.docx", "file"), (f"{tmp_path}/sub/c.txt", "file"), ("", "none")], "target string, kind string")
+    assert [r.path for r in documents.documents_of(targets, files).collect()] == [f"{tmp_path}/a.docx", f"{tmp_path}/sub/b.PDF"]
+    assert f"{tmp_path}/sub/c.txt" in [r.path for r in documents.collect_files(targets, files).collect()]
+    got = documents.uploads(spark.createDataFrame([("/tmp/1", 1)], "doc_id string, n int"), spark.createDataFrame([("/tmp/1", "x.pdf")], "path string, name string")).first()
+    assert got.document_name == "x.pdf"
+    (tmp_path / "words.tsv").write_text("The\t30\nthe\t60\nof\t10\nx9\t5\n")
+    zipf = {r.word: round(r.zipf, 3) for r in spell.read_frequencies(spark, f"{tmp_path}/words.tsv").collect()}
+    assert zipf == {"the": 8.954, "of": 8.0}
+
+
 def test_chunks():
     text = "One sentence here. " * 60 + "x" * 900
     made = structure.chunk_text(text)
