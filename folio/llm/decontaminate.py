@@ -13,6 +13,7 @@ of either kind works. Input columns named like the new ones are replaced.
 
 from __future__ import annotations
 
+import itertools
 from itertools import repeat
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, map_texts
+from .common import alnum_words, map_texts, stored
 
 WINDOW = 8
 K = 4
@@ -171,16 +172,19 @@ def find_items(
 ) -> DataFrame:
     """docs with n_words, hit_spans (merged word ranges inside occurrences of item windows) and hit_items (sorted ids).
 
-    The benchmark is broadcast in parts of bounded size; a second part is a second narrow map over the same rows.
+    The benchmark is broadcast in parts of bounded size. Only one part is on the driver and in the workers at a time: what a
+    part finds is stored before the next one is read.
     """
     spark = docs.sparkSession
-    parts = [ItemIndex(x, window, k) for x in item_parts(benchmark, part_bytes)] or [ItemIndex([], window, k)]
+    parts = item_parts(benchmark, part_bytes)
+    part = next(parts, [])
     names = [f.name for f in FOUND]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
     out = docs
-    for nth, index in enumerate(parts):
-        shared = spark.sparkContext.broadcast(index)
-        last = nth == len(parts) - 1
+    for nth in itertools.count():
+        shared = spark.sparkContext.broadcast(ItemIndex(part, window, k))
+        part = next(parts, None)
+        last = part is None
 
         def make(shared=shared, first=nth == 0):
             def f(texts, part):
@@ -213,7 +217,10 @@ def find_items(
         out = map_texts(
             out, text, FOUND, make, keep=kept if last else list(dict.fromkeys([*kept, text])), also=[] if nth == 0 else names[1:]
         )
-    return out
+        if last:
+            return out
+        out = stored(out, "found")
+        shared.unpersist()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_items: int = 1, **more) -> DataFrame:
