@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,12 +34,16 @@ def alnum_words(text: bytes) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, else the checkpoint folder set in the session.
 
-    There is no other choice: a folder of one machine would be unseen by the others.
+    Where neither is set, a local session (tests) gets a folder of its own; on a cluster that is an error, as a folder of
+    one machine would be unseen by the others.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     path = path or spark.sparkContext.getCheckpointDir()
-    if not path:
+    if not path and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not path:
+        path = f"file://{tempfile.gettempdir()}/checkpoints"
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 

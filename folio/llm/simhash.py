@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hot_keys, join_salted, map_texts, space_words, stored
+from .common import hot_keys, join_salted, map_texts, shuffle_partitions, space_words, stored
 from .components import components
 
 RADIUS = 3
@@ -167,6 +167,54 @@ def filtered(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+#: Keys that a task packs before it hands them on.
+PACKED = 1 << 20
+
+
+def counted(rows: DataFrame, column: str) -> DataFrame:
+    """(key, n) of the 64-bit keys that occur more than once.
+
+    Tasks sum up their keys and hand them on in one list for each target, so that a key costs little over its eight bytes.
+    """
+    parts = shuffle_partitions(rows)
+
+    def pack(batches):
+        held: list[np.ndarray] = []
+
+        def lists():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            to = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            keys, n, to = keys[order], n[order].astype(np.int32), to[order]
+            at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+            offsets = pa.array(np.append(at, len(to)), pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(to[at]), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.ListArray.from_arrays(offsets, pa.array(n))], names=["part", "keys", "sums"]
+            )
+
+        for batch in batches:
+            own = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
+            if len(own):
+                held.append(own)
+            if sum(map(len, held)) >= PACKED:
+                yield lists()
+                held = []
+        if held:
+            yield lists()
+
+    def add(batches):
+        got = [(b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()) for b in batches]
+        if got:
+            keys, where = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([x for _, x in got])).astype(np.int64)
+            for a in range(0, len(keys), PACKED):
+                k, m = keys[a : a + PACKED], n[a : a + PACKED]
+                yield pa.RecordBatch.from_arrays([pa.array(k[m > 1]), pa.array(m[m > 1])], names=["key", "n"])
+
+    packed = rows.select(column).mapInArrow(pack, "part int, keys array<bigint>, sums array<int>")
+    return packed.repartition(parts, "part").mapInArrow(add, "key bigint, n bigint")
+
+
 def first_half(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
@@ -214,7 +262,7 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, wi
     dealt = heads.select("family", "node", "fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
     while True:
         dealt = dealt.withColumn("bucket", F.xxhash64("family", "mask", F.col("fp").bitwiseAND(F.col("mask"))))
-        sizes = stored(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+        sizes = stored(counted(dealt, "bucket").withColumnRenamed("key", "bucket"), "sizes")
         fit = sizes.filter(F.col("n") <= bucket).select("bucket")
         # A filter of bounded size first: rows that are alone in their bucket, by far the most, are not shuffled again.
         small = filtered(dealt.select("bucket", "node", "fp"), "bucket", key_filter(fit, fit.count()))
@@ -305,7 +353,7 @@ def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]
 
     new = T.StructType([T.StructField("own", T.ArrayType(T.LongType()))])
     found = map_texts(docs, text, new, make, keep=[]).select(F.explode("own").alias("shingle"))
-    found = stored(found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "common")
+    found = stored(counted(found, "shingle").withColumnRenamed("key", "shingle"), "common")
     least, total = None, 0
     for row in sorted(found.groupBy("n").count().collect(), reverse=True):
         total += row["count"]
@@ -379,6 +427,16 @@ def sketches(docs: DataFrame, text: str, keep: list[str], common=None, similarit
     return map_texts(docs, text, SKETCH, make, keep=keep)
 
 
+def sequence_halves(docs: DataFrame, text: str) -> DataFrame:
+    """(half): the first half of what names each text's word sequence."""
+    from xxhash import xxh128_digest
+
+    def make():
+        return lambda texts, _: [[first_half(xxh128_digest(b" ".join(space_words(t) if t else []))) for t in texts]]
+
+    return map_texts(docs, text, T.StructType([T.StructField("half", T.LongType())]), make, keep=[])
+
+
 def name_sequences(docs: DataFrame, text: str, shared) -> DataFrame:
     """docs with `__same`, equal for equal word sequences only, and `__maybe`, whether the shared filter may hold it."""
     from xxhash import xxh128_digest
@@ -461,7 +519,7 @@ def rare_pairs(nodes: DataFrame, links: DataFrame, similarity: float = SIMILARIT
     nodes only those outside of its largest component are joined, with all, so that a group of copies costs no squares.
     """
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "shingle"))
-    shared = stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle"), "shared")
+    shared = stored(counted(rows, "shingle").select(F.col("key").alias("shingle")), "shared")
     rows = filtered(rows, "shingle", key_filter(shared, shared.count()))
     rows = rows.join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = stored(rows, "rare")
@@ -495,10 +553,16 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
     """
     spark = docs.sparkSession
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
-    nodes = sketches(docs, "text", ["doc_id"], common_shingles(docs, "text"), similarity).groupBy("__same")
-    firsts = [F.first(c).alias(c) for c in ("fps", "size", "prefix", "parity")]
-    nodes = nodes.agg(F.min(order).alias("least"), *firsts, F.count(F.lit(1)).alias("n"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Sequences that stand once, by far the most, become nodes where they are; only the others are shuffled.
+    repeated = stored(counted(sequence_halves(docs, "text"), "half"), "repeated")
+    named = name_sequences(docs.select("doc_id", "text"), "text", spark.sparkContext.broadcast(key_filter(repeated.select("key"), repeated.count())))
+    common = common_shingles(docs, "text")
+    sketched = lambda rows: sketches(rows, "text", ["doc_id"], common, similarity).withColumn("least", order)
+    made = ["__same", "least", "fps", "size", "prefix", "parity"]
+    alone = sketched(named.filter("NOT __maybe")).select(*made, F.lit(1).cast("long").alias("n"))
+    many = sketched(named.filter("__maybe")).groupBy("__same")
+    many = many.agg(F.min("least").alias("least"), *[F.first(c).alias(c) for c in made[2:]], F.count(F.lit(1)).alias("n"))
+    nodes = stored(alone.unionByName(many).withColumn("node", F.monotonically_increasing_id()), "nodes")
     prints = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
     edges = near_edges(prints, radius, bucket, WITHIN, nearest=2)
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "candidates")
