@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -96,6 +97,14 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         yield batch.slice(a, b - a), texts.slice(a, b - a).cast(pa.binary()).to_pylist()
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker serves many tasks and would hold on to the most that any had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -130,6 +139,7 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     [*columns, *(pa.array(m, t) for m, t in zip(made, types))], schema=arrow
                 )
+        give_back()
 
     return df.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, schema)
 

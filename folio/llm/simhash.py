@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hot_keys, join_salted, map_texts, shuffle_partitions, space_words, stored
+from .common import give_back, hot_keys, join_salted, map_texts, shuffle_partitions, space_words, stored, text_slices
 from .components import components
 
 RADIUS = 3
@@ -171,10 +171,13 @@ def filtered(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
 PACKED = 1 << 20
 
 
-def counted(rows: DataFrame, column: str) -> DataFrame:
+def counted(rows: DataFrame, column: str, keys_of=None) -> DataFrame:
     """(key, n) of the 64-bit keys that occur more than once.
 
+    The column holds the keys, or texts of which keys_of makes arrays of keys: in the same worker, as a second one for each
+    task would have its own memory.
     Tasks sum up their keys and hand them on in one list for each target, so that a key costs little over its eight bytes.
+    Spark may put small targets together: few keys are then few tasks and files.
     """
     parts = shuffle_partitions(rows)
 
@@ -192,27 +195,41 @@ def counted(rows: DataFrame, column: str) -> DataFrame:
                 [pa.array(to[at]), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.ListArray.from_arrays(offsets, pa.array(n))], names=["part", "keys", "sums"]
             )
 
+        def arrays(batch):
+            if not keys_of:
+                return [batch.column(0).drop_null().to_numpy(zero_copy_only=False)]
+            return (keys_of(t) for _, texts in text_slices(batch, column) for t in texts)
+
+        size = 0
         for batch in batches:
-            own = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
-            if len(own):
-                held.append(own)
-            if sum(map(len, held)) >= PACKED:
-                yield lists()
-                held = []
+            for own in arrays(batch):
+                if len(own):
+                    held.append(own)
+                    size += len(own)
+                if size >= PACKED:
+                    yield lists()
+                    held, size = [], 0
         if held:
             yield lists()
+            held = []
+        give_back()
 
     def add(batches):
         got = [(b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()) for b in batches]
-        if got:
-            keys, where = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([x for _, x in got])).astype(np.int64)
+        if any(len(k) for k, _ in got):
+            keys, n = (np.concatenate(x) for x in zip(*got))
+            got.clear()
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, n = keys[at], np.add.reduceat(n, at, dtype=np.int64)
             for a in range(0, len(keys), PACKED):
                 k, m = keys[a : a + PACKED], n[a : a + PACKED]
                 yield pa.RecordBatch.from_arrays([pa.array(k[m > 1]), pa.array(m[m > 1])], names=["key", "n"])
+        give_back()
 
     packed = rows.select(column).mapInArrow(pack, "part int, keys array<bigint>, sums array<int>")
-    return packed.repartition(parts, "part").mapInArrow(add, "key bigint, n bigint")
+    return packed.repartition("part").mapInArrow(add, "key bigint, n bigint")
 
 
 def first_half(digest: bytes) -> int:
@@ -345,15 +362,8 @@ def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]
     if docs.count() > ORDER_WHOLE:
         docs = docs.filter(F.pmod(F.xxhash64(text), F.lit(ORDER_SAMPLE)) == 0)
 
-    def make():
-        def f(texts, _):
-            return [[shingle_set(space_words(t) if t else []) for t in texts]]
-
-        return f
-
-    new = T.StructType([T.StructField("own", T.ArrayType(T.LongType()))])
-    found = map_texts(docs, text, new, make, keep=[]).select(F.explode("own").alias("shingle"))
-    found = stored(counted(found, "shingle").withColumnRenamed("key", "shingle"), "common")
+    found = counted(docs, text, lambda t: shingle_set(space_words(t) if t else []))
+    found = stored(found.withColumnRenamed("key", "shingle"), "common")
     least, total = None, 0
     for row in sorted(found.groupBy("n").count().collect(), reverse=True):
         total += row["count"]
@@ -400,41 +410,44 @@ def parity_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(fold(p) ^ fold(q)).sum())
 
 
-def sketches(docs: DataFrame, text: str, keep: list[str], common=None, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with `__same`, equal for equal word sequences only, `fps`, fingerprints of the set of words, and the `size`,
+def sketches(docs: DataFrame, text: str, keep: list[str], shared, maybe: bool, common=None, similarity: float = SIMILARITY) -> DataFrame:
+    """Those docs whose sequence the shared filter may hold (or cannot, by `maybe`) with `__same`, equal for equal word sequences only, `fps`, fingerprints of the set of words, and the `size`,
     `prefix` and `parity` of the set of five-word shingles."""
     from xxhash import xxh64_intdigest, xxh128_digest
 
-    shared = docs.sparkSession.sparkContext.broadcast(common or (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    known = docs.sparkSession.sparkContext.broadcast(common or (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    new = T.StructType([*SKETCH.fields, T.StructField("__asked", T.BooleanType())])
 
     def make():
-        common = shared.value
+        common, bits = known.value, shared.value
 
         def f(texts, _):
-            same, prints, sizes, firsts, odd = [], [], [], [], []
-            for t in texts:
+            same = [xxh128_digest(b" ".join(space_words(t) if t else [])) for t in texts]
+            asked = in_filter(bits, np.array([first_half(x) for x in same], np.int64)) == maybe
+            prints, sizes, firsts, odd = [], [], [], []
+            for t, wanted in zip(texts, asked):
+                if not wanted:
+                    for column in (prints, sizes, firsts, odd):
+                        column.append(None)
+                    continue
                 words = space_words(t) if t else []
-                same.append(xxh128_digest(b" ".join(words)))
                 prints.append(family_prints(np.array([xxh64_intdigest(w, 42) for w in set(words)], np.uint64)))
                 own = shingle_set(words)
                 sizes.append(len(own))
                 firsts.append(prefix(own, common, similarity))
                 odd.append(parities(own))
-            return [same, prints, sizes, firsts, odd]
+            return [same, prints, sizes, firsts, odd, asked]
 
         return f
 
-    return map_texts(docs, text, SKETCH, make, keep=keep)
+    return map_texts(docs, text, new, make, keep=keep).filter("__asked").drop("__asked")
 
 
-def sequence_halves(docs: DataFrame, text: str) -> DataFrame:
-    """(half): the first half of what names each text's word sequence."""
+def sequence_half(t: bytes | None) -> np.ndarray:
+    """The first half of what names a text's word sequence."""
     from xxhash import xxh128_digest
 
-    def make():
-        return lambda texts, _: [[first_half(xxh128_digest(b" ".join(space_words(t) if t else []))) for t in texts]]
-
-    return map_texts(docs, text, T.StructType([T.StructField("half", T.LongType())]), make, keep=[])
+    return np.array([first_half(xxh128_digest(b" ".join(space_words(t) if t else [])))])
 
 
 def name_sequences(docs: DataFrame, text: str, shared) -> DataFrame:
@@ -554,13 +567,13 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
     spark = docs.sparkSession
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
     # Sequences that stand once, by far the most, become nodes where they are; only the others are shuffled.
-    repeated = stored(counted(sequence_halves(docs, "text"), "half"), "repeated")
-    named = name_sequences(docs.select("doc_id", "text"), "text", spark.sparkContext.broadcast(key_filter(repeated.select("key"), repeated.count())))
+    repeated = stored(counted(docs, "text", sequence_half), "repeated")
+    shared = spark.sparkContext.broadcast(key_filter(repeated.select("key"), repeated.count()))
     common = common_shingles(docs, "text")
-    sketched = lambda rows: sketches(rows, "text", ["doc_id"], common, similarity).withColumn("least", order)
+    sketched = lambda maybe: sketches(docs, "text", ["doc_id"], shared, maybe, common, similarity).withColumn("least", order)
     made = ["__same", "least", "fps", "size", "prefix", "parity"]
-    alone = sketched(named.filter("NOT __maybe")).select(*made, F.lit(1).cast("long").alias("n"))
-    many = sketched(named.filter("__maybe")).groupBy("__same")
+    alone = sketched(False).select(*made, F.lit(1).cast("long").alias("n"))
+    many = sketched(True).groupBy("__same")
     many = many.agg(F.min("least").alias("least"), *[F.first(c).alias(c) for c in made[2:]], F.count(F.lit(1)).alias("n"))
     nodes = stored(alone.unionByName(many).withColumn("node", F.monotonically_increasing_id()), "nodes")
     prints = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
