@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -324,6 +324,8 @@ COPY_SHINGLE = 5
 
 #: Members of a shared shingle that are joined under one key at once; more are dealt out in blocks, each with each.
 BLOCK = 1024
+#: How many of the shingles before it a row of a text's prefix knows. More only spare pairs that meet again.
+EARLIER = 32
 #: Common shingles known by name, and the number of documents beyond which one in ORDER_SAMPLE tells which are common. This
 #: only orders shingles (rare ones first): any order gives the same pairs.
 LISTED, ORDER_WHOLE, ORDER_SAMPLE = 1 << 20, 50_000, 16
@@ -524,12 +526,15 @@ def likely_pairs(edges: DataFrame, nodes: DataFrame, similarity: float = SIMILAR
     return rows.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInArrow(run, EDGES)
 
 
-def rare_pairs(nodes: DataFrame, links: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def rare_pairs(nodes: DataFrame, links: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, known: int = EARLIER) -> DataFrame:
     """Every pair (a, b) of nodes not yet linked whose shingle sets can be `similarity` alike.
 
     nodes: (node, size, prefix). Two such sets share a shingle of their prefixes; at its places i and j in sets of m and n
     they have at most 1 + min(i, j) + min(m - i, n - j) - 1 in common. Pairs of one component need no look: of a shingle's
     nodes only those outside of its largest component are joined, with all, so that a group of copies costs no squares.
+
+    A pair is taken at the first shingle that it shares, where it has at most min(m - i, n - j) in common: each row knows
+    up to `known` of the shingles before it. Of a text with more, a pair may be taken again, by the weaker bound, never lost.
     """
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "shingle"))
     shared = stored(counted(rows, "shingle").select(F.col("key").alias("shingle")), "shared")
@@ -543,15 +548,21 @@ def rare_pairs(nodes: DataFrame, links: DataFrame, similarity: float = SIMILARIT
         "shingle", F.col("main.root").alias("main"), parts(F.col("all")).alias("wide"), parts(F.col("all") - F.col("main.n")).alias("long")
     )
     rows = rows.join(stored(mixed, "mixed"), "shingle")
+    # Shingles of one component alone are in no pair to be found, so those that are left tell the first one that is shared.
+    before = Window.partitionBy("node").orderBy("at")
+    rows = rows.withColumn("first", F.collect_list("shingle").over(before.rowsBetween(-known, -1)))
+    rows = stored(rows.withColumn("whole", F.row_number().over(before) <= known + 1), "firsts")
     own = lambda n: F.pmod(F.xxhash64("node", "shingle"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    named = lambda s: [F.col(c).alias(c + s) for c in ("node", "size", "at", "root")]
+    named = lambda s: [F.col(c).alias(c + s) for c in ("node", "size", "at", "root", "first", "whole")]
     x = rows.filter("root <> main").withColumn("i", own("long")).withColumn("j", every("wide")).select("shingle", "i", "j", *named("_x"))
     y = rows.withColumn("j", own("wide")).withColumn("i", every("long")).select("shingle", "i", "j", "main", *named("_y"))
     pairs = x.join(y.hint("merge"), ["shingle", "i", "j"]).filter("root_x <> root_y AND (root_y = main OR node_x < node_y)")
     pairs = pairs.filter(F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y") - 1e-6)
-    most = F.least("at_x", "at_y") + F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
+    most = F.when(F.col("whole_x") & F.col("whole_y"), 0).otherwise(F.least("at_x", "at_y"))
+    most += F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
     pairs = pairs.filter(most >= similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6)
+    pairs = pairs.filter(~F.arrays_overlap("first_x", "first_y"))
     return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 

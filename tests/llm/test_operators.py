@@ -265,6 +265,27 @@ def test_keep_first_is_the_same_with_small_buckets(spark):
     assert kept(spark, texts, bucket=2) == expected
 
 
+@pytest.mark.parametrize("how", [{}, {"known": 2}])
+def test_rare_pairs_meet_once(spark, monkeypatch, how):
+    """Variants of one template, copies and not: a pair is taken at one of its shared shingles, and no copy is missed."""
+    rng = np.random.default_rng(65)
+    base, sets = np.arange(100), []
+    for k in range(60):
+        changed = rng.choice(100, 3 if k < 30 else 25, replace=False)
+        sets.append(np.sort(np.concatenate([np.delete(base, changed), 1000 * (k + 1) + np.arange(len(changed))])))
+    sets[50:] = [np.concatenate([x, 99_000 + np.arange(rng.integers(1, 20))]) for x in sets[20:30]]
+    place = lambda x: int(x) * 7919 % 100_003
+    rows = [(i, len(x), sorted(map(place, x))[: len(x) - math.ceil(0.8 * len(x)) + 1]) for i, x in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, size int, prefix array<long>")
+    links = spark.createDataFrame([(i, 0) for i in range(1, 12)], "node long, root long")
+    monkeypatch.setattr(type(nodes), "distinct", lambda self: self)
+    got = [tuple(r) for r in simhash.rare_pairs(nodes, links, **how).collect()]
+    alike = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    copies = {(a, b) for a, b in itertools.combinations(range(60), 2) if b > 11 and alike(sets[a], sets[b]) >= 0.8}
+    assert len(copies) > 300 and copies <= set(got) and not any(b < 12 for _, b in got)
+    assert len(got) == len(set(got)) or how
+
+
 # --- 8: language -------------------------------------------------------------------------------------------------------
 
 
