@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -326,9 +327,9 @@ COPY_SHINGLE = 5
 BLOCK = 1024
 #: How many of the shingles before it a row of a text's prefix knows. More only spare pairs that meet again.
 EARLIER = 32
-#: Common shingles known by name, and the number of documents beyond which one in ORDER_SAMPLE tells which are common. This
-#: only orders shingles (rare ones first): any order gives the same pairs.
-LISTED, ORDER_WHOLE, ORDER_SAMPLE = 1 << 20, 50_000, 16
+#: Shingles are counted over all texts in 2^COUNT_BITS classes of hashes, a table of 16 MB in every task, which crosses the
+#: shuffle in pieces. Counts only order shingles (rare ones first): any order gives the same pairs.
+COUNT_BITS, COUNT_PIECE = 22, 1 << 14
 
 SKETCH = T.StructType(
     [
@@ -359,35 +360,46 @@ def shingle_set(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(words, shingle) if words else [], np.uint64).view(np.int64))
 
 
-def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, and how often each was counted: at most LISTED, so every task can have them."""
-    if docs.count() > ORDER_WHOLE:
-        docs = docs.filter(F.pmod(F.xxhash64(text), F.lit(ORDER_SAMPLE)) == 0)
-
-    found = counted(docs, text, lambda t: shingle_set(space_words(t) if t else []))
-    found = stored(found.withColumnRenamed("key", "shingle"), "common")
-    least, total = None, 0
-    for row in sorted(found.groupBy("n").count().collect(), reverse=True):
-        total += row["count"]
-        if total > LISTED:
-            break
-        least = row.n
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    top = found.filter(F.col("n") >= least).toArrow()
-    keys, n = (top.column(c).to_numpy() for c in ("shingle", "n"))
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
-def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+def shingle_classes(own: np.ndarray) -> np.ndarray:
+    return (own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def shingle_counts(docs: DataFrame, text: str) -> np.ndarray:
+    """For each class of shingles how many times a text holds one of them, counted over all docs."""
+
+    def count(batches):
+        made = np.zeros(1 << COUNT_BITS, np.uint32)
+        for batch in batches:
+            for _, texts in text_slices(batch, text):
+                for t in texts:
+                    np.add.at(made, shingle_classes(shingle_set(space_words(t) if t else [])), np.uint32(1))
+        pieces = made.reshape(-1, COUNT_PIECE)
+        for i in np.flatnonzero(pieces.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(pieces[i], 1)])], names=["piece", "counts"])
+        del made, pieces
+        give_back()
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
+                sums[i] = sums.get(i, np.zeros(COUNT_PIECE, np.int64)) + own
+        for i, own in sums.items():
+            own = np.minimum(own, np.iinfo(np.uint32).max).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own.tobytes()])], names=["piece", "counts"])
+
+    out = np.zeros(1 << COUNT_BITS, np.uint32).reshape(-1, COUNT_PIECE)
+    got = docs.select(text).mapInArrow(count, "piece int, counts binary").repartition("piece").mapInArrow(add, "piece int, counts binary").toArrow()
+    for i, own in zip(got.column("piece").to_pylist(), got.column("counts")):
+        out[i] = np.frombuffer(own.as_py(), np.uint32)
+    return out.reshape(-1)
+
+
+def prefix(own: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles in an order common to all texts: two sets at least `similarity` alike share one of these."""
-    keys, n = common
-    count = np.zeros(len(own), np.int64)
-    if len(keys) and len(own):
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        count = np.where(keys[at] == own, n[at], 0)
-    return own[np.lexsort((own, count))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+    order = np.lexsort((own, counts[shingle_classes(own)]))
+    return own[order][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
 
 
 #: The most bits of a set's parities: 4 KB.
@@ -412,16 +424,16 @@ def parity_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(fold(p) ^ fold(q)).sum())
 
 
-def sketches(docs: DataFrame, text: str, keep: list[str], shared, maybe: bool, common=None, similarity: float = SIMILARITY) -> DataFrame:
+def sketches(docs: DataFrame, text: str, keep: list[str], shared, maybe: bool, counts: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """Those docs whose sequence the shared filter may hold (or cannot, by `maybe`) with `__same`, equal for equal word sequences only, `fps`, fingerprints of the set of words, and the `size`,
     `prefix` and `parity` of the set of five-word shingles."""
     from xxhash import xxh64_intdigest, xxh128_digest
 
-    known = docs.sparkSession.sparkContext.broadcast(common or (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    known = docs.sparkSession.sparkContext.broadcast(counts)
     new = T.StructType([*SKETCH.fields, T.StructField("__asked", T.BooleanType())])
 
     def make():
-        common, bits = known.value, shared.value
+        counts, bits = known.value, shared.value
 
         def f(texts, _):
             same = [xxh128_digest(b" ".join(space_words(t) if t else [])) for t in texts]
@@ -436,7 +448,7 @@ def sketches(docs: DataFrame, text: str, keep: list[str], shared, maybe: bool, c
                 prints.append(family_prints(np.array([xxh64_intdigest(w, 42) for w in set(words)], np.uint64)))
                 own = shingle_set(words)
                 sizes.append(len(own))
-                firsts.append(prefix(own, common, similarity))
+                firsts.append(prefix(own, counts, similarity))
                 odd.append(parities(own))
             return [same, prints, sizes, firsts, odd, asked]
 
@@ -580,8 +592,8 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
     # Sequences that stand once, by far the most, become nodes where they are; only the others are shuffled.
     repeated = stored(counted(docs, "text", sequence_half), "repeated")
     shared = spark.sparkContext.broadcast(key_filter(repeated.select("key"), repeated.count()))
-    common = common_shingles(docs, "text")
-    sketched = lambda maybe: sketches(docs, "text", ["doc_id"], shared, maybe, common, similarity).withColumn("least", order)
+    counts = shingle_counts(docs, "text")
+    sketched = lambda maybe: sketches(docs, "text", ["doc_id"], shared, maybe, counts, similarity).withColumn("least", order)
     made = ["__same", "least", "fps", "size", "prefix", "parity"]
     alone = sketched(False).select(*made, F.lit(1).cast("long").alias("n"))
     many = sketched(True).groupBy("__same")

@@ -286,6 +286,13 @@ def test_rare_pairs_meet_once(spark, monkeypatch, how):
     assert len(got) == len(set(got)) or how
 
 
+def test_shingles_are_counted_over_all_texts(spark):
+    docs = spark.range(0, 60_000, 1, 6).selectExpr("if(id % 3 = 0, 'Five words in each text', concat('five words in text ', id)) AS text")
+    counts = simhash.shingle_counts(docs.union(docs.limit(1).selectExpr("cast(null AS string)")), "text")
+    assert counts.sum() == 60_000
+    assert counts[simhash.shingle_classes(simhash.shingle_set(space_words(b"Five words in each text")))] >= 20_000
+
+
 # --- 8: language -------------------------------------------------------------------------------------------------------
 
 
