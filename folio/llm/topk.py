@@ -140,6 +140,22 @@ def _search_pairs(pairs: DataFrame, top: int) -> DataFrame:
     return pairs.select("queries", "rows").mapInArrow(run, HIT)
 
 
+def _lists(rows: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:
+    """One row a key with its rows as a list of structs: by a sort that can spill, one key in memory at a time.
+
+    collect_list would hold a task's whole share of the table on the heap: with few keys its hash map never spills.
+    """
+    typed = lambda names: [T.StructField(c, rows.schema[c].dataType) for c in names]
+    schema = T.StructType([*typed(keys), T.StructField(name, T.ArrayType(T.StructType(typed(fields))))])
+
+    def run(table: pa.Table) -> pa.Table:
+        members = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in fields], names=fields)
+        own = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), members)
+        return pa.table([*(table.column(c).slice(0, 1).combine_chunks() for c in keys), own], names=[*keys, name])
+
+    return rows.select(*keys, *fields).groupBy(*keys).applyInArrow(run, schema)
+
+
 def _ranked(hits: DataFrame, top: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
@@ -161,26 +177,27 @@ def top_k(table: DataFrame, query, top: int = TOP, scale: int = 256, block: int
     pick = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("bin"))
     spread = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), pick(parts))
     blocks = rows.withColumn("block", (pick(first) + spread).cast("int"))
-    blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("vec_id", "vec")).alias("rows"))
-    blocks = stored(blocks, "blocks")
+    # Stored as single vectors: a reader takes thousands of rows at once, which must not be thousands of blocks.
+    blocks = stored(blocks.select("block", "vec_id", "vec"), "blocks")
+    listed = lambda b: _lists(b, ["block"], ["vec_id", "vec"], "rows")
 
     asked = rows.filter("is_query").select("vec_id", "vec", "norm").dropDuplicates(["vec_id"])
     asked = stored(asked, "queries")
     n_blocks = max(1, -(-asked.count() // queries))
 
     def grouped(q: DataFrame, *keys: str) -> DataFrame:
-        q = q.groupBy(*keys, F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("qb"))
-        return q.agg(F.collect_list(F.struct("vec_id", "vec", "least")).alias("queries"))
+        q = q.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
+        return _lists(q, [*keys, "qb"], ["vec_id", "vec", "least"], "queries")
 
     # The longest vectors go to every block of queries.
-    longest = blocks.filter("block = 0").select("rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("qb"))
+    longest = listed(blocks.filter("block = 0")).select("rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("qb"))
     seeds = grouped(asked.withColumn("least", F.lit(float("nan")))).withColumn("qb", F.col("qb").cast("long"))
     found = stored(_search_pairs(seeds.join(longest.hint("merge"), "qb"), top), "seeds")
     if total == 1:
         return _ranked(found, top).select("query_id", "rank", "vec_id", "score")
     least = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("least"))
     least = least.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= top, F.col("least")).otherwise(float("nan")).alias("least"))
-    again = asked.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("nan"))))
+    again = asked.join(least.hint("merge"), "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("nan"))))
     # A query goes to the blocks of bins whose longest vectors can reach its threshold: a prefix, as bins fall in length.
     reach = F.when(F.isnan("least") | (F.col("norm") == 0), F.lit(float("-inf"))).otherwise(F.col("least") / F.col("norm") * (1 - 1e-9) - 1e-6)
     last = F.lit(0)
@@ -189,7 +206,9 @@ def top_k(table: DataFrame, query, top: int = TOP, scale: int = 256, block: int
     again = again.withColumn("reach", reach).withColumn("last", last)
     pairs = grouped(again.filter("last > 0"), "last")
     pairs = pairs.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("last")))).repartition(total, "block")
-    rest = _search_pairs(pairs.join(blocks, "block"), top)
+    # Both sides grow with the table, and the planner knows neither's size: it sees the small file of queries, not that they
+    # are repeated for every block, and would gather them on the driver for a broadcast.
+    rest = _search_pairs(pairs.hint("merge").join(listed(blocks.filter("block > 0")).hint("merge"), "block"), top)
     return _ranked(found.union(rest), top).select("query_id", "rank", "vec_id", "score")
 
 

@@ -489,6 +489,15 @@ def test_topk_odd(spark):
     assert sorted(tuple(r)[1:] for r in topk.nearest(few).collect()) == [(1, 3, 131072), (2, 3, 131072), (3, 7, -65536)]
 
 
+def test_topk_gathers_neither_side_of_its_join(spark):
+    """Queries repeated for every block grow with the table's square: not to be broadcast, nor lists to be held on the heap."""
+    rng = np.random.default_rng(66)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(rng.standard_normal((300, 8)))]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), topk.F.col("vec_id") % 10 == 0, block=64, queries=16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "collect_list" not in plan
+
+
 # --- 3: archive --------------------------------------------------------------------------------------------------------
 
 
