@@ -7,8 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 TOP, STRONG, MODERATE = 5, 0.60, 0.45
@@ -95,33 +98,108 @@ def text_key(texts: Column) -> Column:
     return F.sha2(F.concat(F.array_join(texts, "\0"), F.lit("\0")), 256)
 
 
-#: Bytes of query vectors that one broadcast may hold.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of query vectors and of rows that one task holds; scores that it holds at once, and pairs that it verifies at once.
+BLOCK_BYTES, TILE_BYTES, SCORES, PAIRS = 1 << 20, 16 << 20, 1 << 21, 1 << 16
 
 
-def label_search(embeddings: DataFrame, every: int = 20, top: int = TOP, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _vectors(table: pa.Table, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """size: (positions, matrix) of a column of lists; size -1 are those without a score."""
+    sizes, lists, out = table["size"].to_numpy(), table[name].combine_chunks(), {}
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        flat = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float)
+        out[int(size)] = at, flat.reshape(len(at), max(int(size), 0))
+    return out
+
+
+def _first(qi: np.ndarray, vi: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `top` pairs of each query by score (NaN before all else), ties by the row's place."""
+    nan = np.isnan(scores)
+    order = np.lexsort((vi, -np.where(nan, 0.0, scores), ~nan, qi))
+    own = qi[order]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    keep = order[np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)])) < top]
+    return qi[keep], vi[keep], scores[keep]
+
+
+def best_pairs(q: np.ndarray, v: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score): the `top` rows of each query by inner product, ties to the first row.
+
+    A matrix product finds the rows that can be among them, within its rounding; their scores are summed in order, as in SQL.
+    """
+    found, step, dims = [], max(1, SCORES // len(v)), v.shape[1]
+    with np.errstate(all="ignore"):
+        longest, lengths = np.sqrt((v * v).sum(1)).max(), np.sqrt((q * q).sum(1))
+        for low in range(0, len(q), step):
+            part = q[low : low + step]
+            s = part @ v.T
+            finite = np.isfinite(s)
+            base = s if finite.all() else np.where(finite, s, -np.inf)
+            k = max(0, len(v) - top)
+            least = np.partition(base, k, axis=1)[:, k] - 8 * (dims + 2) * np.finfo(float).eps * lengths[low : low + step] * longest
+            qi, vi = np.nonzero(~(s < least[:, None]) | ~finite)
+            scores = np.zeros(len(qi))
+            for at in range(0, len(qi), PAIRS):
+                products = part[qi[at : at + PAIRS]] * v[vi[at : at + PAIRS]]
+                for d in range(dims):
+                    scores[at : at + PAIRS] += products[:, d]
+            qi, vi, scores = _first(qi, vi, scores, top)
+            found.append((qi + low, vi, scores))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def best_of_labels(asked: pa.Table, rows: pa.Table, top: int) -> pa.Table:
+    """query_id, label, vec_id, score: the `top` rows of each label other than the query's own; a null score comes last."""
+    key = pc.fill_null(rows["vec_id"].cast("int64"), np.iinfo(np.int64).max).to_numpy()
+    rows = rows.take(pa.array(np.lexsort((key, rows["label"].to_numpy()))))
+    labels, own = rows["label"].to_numpy(), asked["own"].to_numpy()
+    queries, out = _vectors(asked, "q"), []
+    for size, (at, v) in _vectors(rows, "embedding").items():
+        cuts = np.flatnonzero(np.r_[True, labels[at][1:] != labels[at][:-1], True])
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            for other, (asks, q) in queries.items():
+                mine = np.flatnonzero(own[asks] != labels[at[low]])
+                if not len(mine):
+                    continue
+                if size == other and size >= 0:
+                    qi, vi, scores = best_pairs(q[mine], v[low:high], top)
+                    scores = pa.array(scores)
+                else:
+                    few = min(top, high - low)
+                    qi, vi = np.repeat(np.arange(len(mine)), few), np.tile(np.arange(few), len(mine))
+                    scores = pa.nulls(len(qi), pa.float64())
+                took = rows.take(pa.array(at[low + vi]))
+                ids = asked["query_id"].take(pa.array(asks[mine[qi]]))
+                out.append(pa.table({"query_id": ids, "label": took["label"], "vec_id": took["vec_id"], "score": scores}))
+    empty = {"query_id": asked["query_id"][:0], "label": rows["label"][:0], "vec_id": rows["vec_id"][:0], "score": pa.array([], pa.float64())}
+    return pa.concat_tables(out) if out else pa.table(empty)
+
+
+def label_search(embeddings: DataFrame, every: int = 20, top: int = TOP, broadcast_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each vector whose id is divisible by `every` as query, the best of every other label: query_id, doc_id (the label), vec_id, score, rank, relevance.
 
-    Vectors of the query's own label count as holding the query. Queries of at most `broadcast_bytes` are broadcast; more are
-    dealt into blocks of that size, each row meets every block, and the rows of a block are spread over tiles, so that no
-    task holds more than a block and its share of rows. The window's limit is applied before the shuffle.
+    Vectors of the query's own label count as holding the query. Queries are dealt into blocks of `broadcast_bytes` and rows
+    into tiles of TILE_BYTES; each block meets each tile in a task, which gives the best of its tile alone. Vectors that are
+    null, hold a null or have another size than the query have a null score and come last.
     """
-    spark = embeddings.sparkSession
-    asked = embeddings.filter(F.col("vec_id") % every == 0)
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("own"))
-    n, longest = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
-    blocks = max(1, -(-n * (8 * longest + 64) // broadcast_bytes))
-    rows = embeddings.select("vec_id", "embedding", "label")
-    if blocks == 1:
-        pairs = rows.join(F.broadcast(asked), F.col("label") != F.col("own"))
-    else:
-        tiles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        asked = asked.withColumns({"block": own, "tile": F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))})
-        each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-        rows = rows.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")).withColumn("block", each)
-        pairs = rows.join(asked.hint("merge"), ["block", "tile"]).filter("label <> own")
-    pairs = pairs.select("query_id", "label", "vec_id", dot(F.col("embedding"), F.col("q")).alias("score"))
-    order = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id")
+    e = F.col("embedding")
+    plain = e.isNotNull() & F.forall(e, lambda x: x.isNotNull())
+    vectors = embeddings.filter("label IS NOT NULL").select(
+        "vec_id", "label", F.when(plain, e).otherwise(F.slice(e, 1, 0)).alias("embedding"), F.when(plain, F.size(e)).otherwise(-1).alias("size")
+    )
+    vectors = vectors.withColumn("embedding", F.coalesce("embedding", F.array().cast(embeddings.schema["embedding"].dataType)))
+    is_asked = F.col("vec_id") % every == 0
+    n, asks, longest = vectors.agg(F.count(F.lit(1)), F.count_if(is_asked), F.coalesce(F.max("size"), F.lit(0))).first()
+    blocks = max(1, -(-asks * (8 * longest + 64) // broadcast_bytes))
+    tiles = max(1, -(-n * (8 * longest + 64) // TILE_BYTES))
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    asked = vectors.filter(is_asked).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("embedding").alias("q"), "size", part("vec_id", blocks).alias("block"))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    rows = vectors.withColumn("tile", part("vec_id", tiles)).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    kinds = {f.name: f.dataType for f in embeddings.schema}
+    made = T.StructType([T.StructField("query_id", kinds["vec_id"]), T.StructField("label", kinds["label"]), T.StructField("vec_id", kinds["vec_id"]), T.StructField("score", T.DoubleType())])
+    met = asked.groupBy("block", "tile").cogroup(rows.groupBy("block", "tile"))
+    pairs = met.applyInArrow(lambda a, b: best_of_labels(a, b, top), made)
+    order = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     found = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return found.select("query_id", F.col("label").alias("doc_id"), "vec_id", F.round("score", 6).alias("score"), "rank", band(F.col("score")).alias("relevance"))

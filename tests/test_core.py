@@ -244,6 +244,35 @@ def test_search_in_blocks(spark):
     assert one.count() > 0 and one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
 
 
+def test_search_of_odd_vectors(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [nan, 1.0], [inf, -1.0], [-inf, 0.0], [0.0, -0.0], [3e38, 3e38], [1e-30, 2e-30]]
+    rows = [(i, odd[i % 17] if i % 17 < len(odd) else [(i % 5) / 7, (i % 3) / 11], [0, 1, 2, None][i % 4]) for i in range(400)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    cols = ["query_id", "doc_id", "vec_id", "score", "rank", "relevance"]
+    want = plain(con.sql(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL['semantic_topk']})").fetchall())
+    assert plain(map(tuple, semantic.label_search(e).select(*cols).collect())) == want
+    monkeypatch.setattr(semantic, "TILE_BYTES", 4000)
+    tiled = semantic.label_search(e, broadcast_bytes=500).select(*cols)
+    assert plain(map(tuple, tiled.collect())) == want
+    # A row is made for the best of a tile only, not for each pair.
+    assert "Join" not in tiled._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_of_many_equal_vectors():
+    import numpy as np
+
+    q, v = np.array([[1.0, 2.0], [-1.0, 0.5]]), np.repeat([[0.5, 0.25], [0.1, 0.7]], 100_000, axis=0)
+    qi, vi, scores = semantic.best_pairs(q, v, 3)
+    assert (qi.tolist(), vi.tolist()) == ([0, 0, 0, 1, 1, 1], [100_000, 100_001, 100_002] * 2)
+    assert scores.tolist() == [0.1 + 2 * 0.7] * 3 + [-0.1 + 0.5 * 0.7] * 3
+
+
 def test_word_changes_and_distance(spark):
     r = spark.createDataFrame([("The cat sat", "the dog sat")], "a string, b string").select(spell.word_changes("a", "b").alias("c")).first()
     assert [(x.original, x.suggestion) for x in r.c] == [("cat", "dog")]
