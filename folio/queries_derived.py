@@ -54,7 +54,7 @@ _SUFFIX_SWAP = """(least(length({0}), length({1})) >= 6 AND coalesce(list_max(li
 
 
 def word_rows(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(F.transform(spell.tokens(F.col("text")), F.lower)).alias("word"))
+    return table(spark, sf_dir, "documents").select(F.explode(spell.tokens(F.col("text"))).alias("word")).select(F.lower("word").alias("word"))
 
 
 def words(spark, sf_dir) -> DataFrame:
@@ -64,8 +64,9 @@ def words(spark, sf_dir) -> DataFrame:
 def pairs(spark, sf_dir) -> DataFrame:
     """The distinct pairs (a, b) of words that follow one another."""
     w = table(spark, sf_dir, "documents").select(spell.tokens(F.col("text")).alias("w")).filter(F.size("w") > 1)
-    next_to = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))
-    return w.select(F.inline(next_to)).distinct()
+    last = F.size("w") - 1
+    next_to = F.arrays_zip(F.slice("w", F.lit(1), last).alias("a"), F.slice("w", F.lit(2), last).alias("b"))
+    return w.select(F.inline(next_to).alias("a", "b")).distinct()
 
 
 @query(f"SELECT a, b, {_LIKELY.format('a', 'b')} AS likely, {_SWAPPED.format('a', 'b')} AS transposed FROM {_PAIRS}")

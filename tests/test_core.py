@@ -240,6 +240,16 @@ def test_changes_are_not_moved_to_be_verified(spark, tmp_path):
         spark.conf.set(setting, before)
 
 
+def test_words_are_told_without_folds(spark):
+    from folio import queries_derived as derived
+
+    for rows in (derived.pairs(spark, SF), derived.word_rows(spark, SF)):
+        assert "lambda" not in rows._jdf.queryExecution().analyzed().toString()
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()
+    words = [re.findall("[A-Za-z]+", r.text) for r in texts]
+    assert {tuple(r) for r in derived.pairs(spark, SF).collect()} == {p for w in words for p in zip(w, w[1:])}
+
+
 def test_best_candidate_alone_counts(spark):
     vocab = spark.createDataFrame([("planners", 6.0), ("planneth", 3.2)], "word string, zipf double")
     words = spark.createDataFrame([("plannerx",)], "word string")
