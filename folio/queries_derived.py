@@ -166,9 +166,12 @@ _MERGED = f"(SELECT doc_id, turn, sentence, w[i] AS word, reverse(w[i]) || i AS
 )
 def spell_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("paragraph_index"), F.col("text").alias("sentence"))
-    rows = rows.select("*", F.posexplode(spell.tokens(F.col("sentence"))).alias("i", "word")).withColumn("prio", F.col("i") + 1)
-    rows = rows.withColumn("suggestion", F.concat(F.reverse("word"), F.col("prio"))).withColumn("method", F.when(F.col("prio") % 2 == 0, "t5").otherwise("dictionary"))
-    return spell.merge_findings(rows)
+
+    def one(word, i):
+        method = F.when((i + 1) % 2 == 0, "t5").otherwise("dictionary")
+        return F.struct(word.alias("word"), F.concat(F.reverse(word), i + 1).alias("suggestion"), method.alias("method"), (i + 1).alias("prio"))
+
+    return spell.merge_findings(rows.withColumn("found", F.transform(spell.tokens(F.col("sentence")), one)))
 
 
 _FREQUENT = f"(SELECT word, zipf FROM {_ZIPF} WHERE n >= 10)"

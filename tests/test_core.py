@@ -269,6 +269,17 @@ def test_edit_rules_stop_at_two_edits(spark):
     assert "None" not in given.select(spell.likely(a, b))._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_findings_of_a_sentence_move_once(spark):
+    kind = "doc_id int, paragraph_index int, sentence string, found array<struct<word:string,suggestion:string,method:string,prio:int>>"
+    a, b, c = ("Teh", "the", "t5", 2), ("teh", "tech", "dictionary", 1), ("cat", "cut", "dictionary", 3)
+    rows = [(1, 0, "s", [a, c]), (1, 0, "s", [b]), (2, 0, "s", [c]), (3, 0, "s", [c]), (3, 0, "s", [c]), (4, 0, "s", []), (4, 0, "s", None), (5, 0, None, [(None, "x", "t5", 1)]), (6, 0, "t", [("x", "y", "t5", None)])]
+    found = spell.merge_findings(spark.createDataFrame(rows, kind))
+    want = [(1, 0, "s", "cat", "cut", "dictionary"), (1, 0, "s", "teh", "tech", "both"), (2, 0, "s", "cat", "cut", "dictionary"), (3, 0, "s", "cat", "cut", "both"), (5, 0, None, None, "x", "t5"), (6, 0, "t", "x", None, None)]
+    assert plain(map(tuple, found.collect())) == plain(want)
+    moved = queries.QUERIES["spell_merge"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert moved.count("Exchange hashpartitioning") == 1 and moved.index("Generate") < moved.index("Exchange hashpartitioning")
+
+
 def test_best_candidate_alone_counts(spark):
     vocab = spark.createDataFrame([("planners", 6.0), ("planneth", 3.2)], "word string, zipf double")
     words = spark.createDataFrame([("plannerx",)], "word string")
